@@ -1,0 +1 @@
+"""Continuous ingest."""
