@@ -36,7 +36,7 @@ from .bytetext import mix, slices, utf8, words
 LETTERS, ORDER, SPAN, DECAY = 35, 3, 5, 0.6
 WINDOW, STRIDE, FEWEST = 24, 12, 3
 #: Most clean and most toxic rows that the machine is fitted on.
-SAMPLE_ROWS = (3000, 1500)
+SAMPLE_ROWS = (2000, 1000)
 LANDMARKS = 128
 CHANCE, ROUNDS = 1e-4, 3
 #: Weight of all negatives against that of all positives, and of the L2 term.
@@ -132,19 +132,27 @@ def _spelled(codes: np.ndarray, start: np.ndarray, length: np.ndarray, i: int) -
     return bytes(96 + c if c < 27 else 0x80 + c - 27 for c in codes[start[i] : start[i] + length[i]].tolist())
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared hinge with an L2 term, by Newton steps; the last weight is the bias."""
-    x = np.hstack([z, np.ones((len(z), 1))])
-    s = weight / weight.sum()
-    ridge = COST * np.append(np.ones(z.shape[1]), 1e-3)
-    loss = lambda w: (s * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum()
-    w = np.zeros(x.shape[1])
+def _svm(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Squared hinge with an L2 term over ``z[rows]``, by Newton steps; the last weight is the bias."""
+    s, n = weight / weight.sum(), z.shape[1] + 1
+    ridge = COST * np.append(np.ones(n - 1), 1e-3)
+
+    def parts():
+        for lo in range(0, len(rows), 10_000):
+            to = slice(lo, lo + 10_000)
+            yield np.hstack([z[rows[to]].astype(np.float64), np.ones((len(rows[to]), 1))]), y[to], s[to]
+
+    loss = lambda w: sum((q * np.maximum(0, 1 - t * (x @ w)) ** 2).sum() for x, t, q in parts()) + (ridge * w * w).sum()
+    w = np.zeros(n)
     for _ in range(30):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xa = x[on]
-        grad = -2 * xa.T @ (s[on] * y[on] * slack[on]) + 2 * ridge * w
-        step = np.linalg.solve(2 * (xa * s[on][:, None]).T @ xa + 2 * np.diag(ridge), grad)
+        grad, hess = 2 * ridge * w, 2 * np.diag(ridge)
+        for x, t, q in parts():
+            slack = 1 - t * (x @ w)
+            on = slack > 0
+            x = x[on]
+            grad = grad - 2 * x.T @ (q[on] * t[on] * slack[on])
+            hess = hess + 2 * (x * q[on][:, None]).T @ x
+        step = np.linalg.solve(hess, grad)
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-3:
             size /= 2
@@ -154,27 +162,46 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letter codes, start and length of each distinct word; word and text of each distinct pair),
+    gathered sentence by sentence from a bounded number of characters at a time."""
+    number: dict[bytes, int] = {}
+    pairs, sentences, owner, held = [], [], [], 0
+
+    def gather() -> None:
+        codes, start, length, row = pieces(*utf8(pa.array(sentences, pa.string())))
+        if len(start):
+            first, which = distinct(codes, start, length)
+            raw = (codes + 1).astype(np.uint8).tobytes()
+            ids = np.array([number.setdefault(raw[s : s + n], len(number)) for s, n in zip(start[first].tolist(), length[first].tolist(), strict=True)], np.int64)
+            pairs.append(np.unique(ids[which] * len(texts) + np.array(owner, np.int64)[row]))
+        sentences.clear(), owner.clear()
+
+    for i, t in enumerate(texts):
+        for x in re.split(r"(?<=[.!?])\s+|\n+", t or ""):
+            sentences.append(x)
+            owner.append(i)
+            held += len(x)
+            if held > 500_000:
+                gather()
+                held = 0
+    gather()
+    pair = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]))
+    spelled = list(number)
+    length = np.array([len(w) for w in spelled], np.int64)
+    codes = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int8) - np.int8(1)
+    return codes, np.cumsum(length) - length, length, (pair // len(texts)).astype(np.int32), (pair % len(texts)).astype(np.int32)
+
+
 def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> dict:
     """Fit on labelled texts -> {"table", "bias", "slope", "shift"}; ``table`` is None without both labels."""
     y = np.array(labels, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return {"table": None, "share": share}
-    sentences, owner = [], []
-    for i, t in enumerate(texts):
-        for s in re.split(r"(?<=[.!?])\s+|\n+", t or ""):
-            if s:
-                sentences.append(s)
-                owner.append(i)
-    raw, off = utf8(pa.array(sentences, pa.string()))
-    codes, start, length, row = pieces(raw, off)
-    first, which = distinct(codes, start, length)
-    fs, fl = start[first], length[first]
-    doc = np.array(owner, np.int64)[row] if len(row) else row
-    pair = np.unique(which.astype(np.int64) * len(texts) + doc)
-    word, doc = pair // len(texts), pair % len(texts)
-    toxic = np.bincount(word, y[doc], len(first))
-    clean = np.bincount(word, 1 - y[doc], len(first))
+    codes, fs, fl, word, doc = _vocabulary(texts)
+    toxic = np.bincount(word, y[doc], len(fs))
+    clean = np.bincount(word, 1 - y[doc], len(fs))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
     worth = odds * np.sqrt(toxic) * (toxic >= min(3, y.sum())) * (odds > 0)
     chosen = [i for i in np.argsort(-worth, kind="stable")[: landmarks // 2] if worth[i] > 0]
@@ -182,7 +209,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
     maps = np.stack([table_of(_spelled(codes, fs, fl, i)) for i in chosen])
     value, vector = np.linalg.eigh((maps @ maps.T).astype(float))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    z = sums(codes, fs, fl, maps).astype(float) @ root
+    z = sums(codes, fs, fl, maps) @ root.astype(np.float32)
     # words of so many toxic and so few clean texts that chance explains it at odds below CHANCE
     expected = (toxic + clean) * share
     gain = np.where(toxic > expected, toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
@@ -208,8 +235,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
         rows = np.concatenate([pos, neg])
         part, seen = np.sqrt(np.array([witness[int(i)] for i in pos], float)), np.sqrt(clean[neg])
         weight = np.concatenate([part / part.sum(), CLEAN_WEIGHT * seen / max(seen.sum(), 1e-9)])
-        w = _svm(z[rows], np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]), weight)
-        score = z @ w[:-1] + w[-1]
+        w = _svm(z, rows, np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]), weight)
+        score = z @ w[:-1].astype(np.float32) + w[-1]
     table = ((root @ w[:-1]) @ maps).astype(np.float32)
     # logistic curve over the highest word of each training text
     floor = float(w[-1])
