@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mix, shingles, slices, utf8
+from .bitmap import maybe_in
 from .graph import components
 from .scratch import stored
 
@@ -43,39 +44,56 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return ((hashes[None, :] * _A[:, None] + _B[:, None]) >> _U(33)).min(1).astype(np.int32)
 
 
+def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
+    """n, f1, f2: size and fingerprint of each set."""
+    n = np.array([len(s) for s in sets], np.int64)
+    f1 = np.array([s.sum(dtype=_U) for s in sets], _U).astype(np.int64)
+    f2 = np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) for s in sets], _U).astype(np.int64)
+    return [pa.array(n), pa.array(f1), pa.array(f2)]
+
+
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), signature array<int>, hashes binary (sorted)."""
+    """doc_id, n, f1, f2 (size and fingerprint of the set), signature array<int>."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingles(*utf8(part.column(1)), k)
-                n = np.array([len(s) for s in sets], np.int64)
-                f1 = np.array([s.sum(dtype=_U) for s in sets], _U).astype(np.int64)
-                f2 = np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) for s in sets], _U).astype(np.int64)
                 signs = np.concatenate([signature(s) for s in sets if len(s)] or [np.zeros(0, np.int32)])
-                at = np.concatenate([[0], np.cumsum((n > 0) * COORDINATES)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(at), pa.array(signs)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n", "f1", "f2", "signature", "hashes"],
-                )
+                at = np.cumsum([0, *(COORDINATES if len(s) else 0 for s in sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_sums(sets), pa.ListArray.from_arrays(pa.array(at), pa.array(signs))], ["doc_id", "n", "f1", "f2", "signature"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, signature array<int>")
+
+
+def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, f1, f2, hashes binary (the sorted set)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingles(*utf8(part.column(1)), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_sums(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "f1", "f2", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, signature array<int>, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, hashes binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures collide often enough and whose full sets reach the similarity."""
-    light = sets.select(F.col("id"), "n", "signature")
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose signatures collide often enough and whose full sets, made again
+    from the texts of the classes concerned, reach the similarity."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("signature").alias("s" + c)).hint("merge")
     near = (
-        pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")).hint("merge"), "a")
-        .join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")).hint("merge"), "b")
-        .filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
+        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         .filter(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= MATCHES)
         .select("a", "b")
     )
     near = stored(near, "retained")
     ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    full = stored(sets.select("id", "hashes").join(ids.hint("merge"), "id", "left_semi"), "sets")
+    asked = stored(classes.join(ids.hint("merge"), "id", "left_semi").select("id", "doc_id", "n", "f1", "f2"), "asked")
+    made = full_sets(maybe_in(docs.select("doc_id", "text"), asked, "doc_id"), k)
+    full = stored(made.join(asked.hint("merge"), ["doc_id", "n", "f1", "f2"]).select("id", "hashes").dropDuplicates(["id"]), "sets")
 
     def check(frames):
         for f in frames:
@@ -86,8 +104,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pd.DataFrame({"a": f["a"][keep], "b": f["b"][keep]})
 
-    side = lambda c: full.select(F.col("id").alias(c), F.col("hashes").alias("h" + c)).hint("merge")
-    return stored(near.join(side("a"), "a").join(side("b"), "b").mapInPandas(check, "a long, b long"), "links")
+    sets = lambda c: full.select(F.col("id").alias(c), F.col("hashes").alias("h" + c)).hint("merge")
+    return stored(near.join(sets("a"), "a").join(sets("b"), "b").mapInPandas(check, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -95,49 +113,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Jaccard >= percent/100 reach, and whether the row is that one."""
     made = stored(fingerprints(docs, k), "fingerprints")
     some = made.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")), "classes")
-    member = some.select("doc_id", "n", "f1", "f2").join(classes.hint("merge"), ["n", "f1", "f2"]).select("doc_id", "id", "n", "f1", "f2").distinct()
-    # an id that stands for more than one set (a repeated doc_id) is told apart by the set
-    member = stored(member, "members")
-    keep = classes.select("id", F.col("n").alias("_n"), "f1", "f2")
-    sets = stored(
-        some.join(keep.hint("merge"), (some["doc_id"] == keep["id"]) & (some["n"] == keep["_n"]) & (some["f1"] == keep["f1"]) & (some["f2"] == keep["f2"]))
-        .select("id", "n", some["f1"], "signature", "hashes")
-        .withColumn("cid", F.xxhash64("id", "f1"))
-        .dropDuplicates(["cid"]),
-        "sets",
-    )
-    sets = sets.select(F.col("cid"), "id", "n", "signature", "hashes")
-    names = sets.select("cid", F.col("id").alias("doc"))
-    posted = sets.select(F.col("cid").alias("id"), F.posexplode("signature").alias("c", "v")).select("id", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
+    key = ["n", "f1", "f2"]
+    reps = some.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
+    # a class is named by a hash of its fingerprint, so a doc_id that is repeated with other texts can stand for several
+    name = F.xxhash64(*key).alias("id")
+    classes = stored(some.join(reps.hint("merge"), ["doc_id", *key]).select(name, "doc_id", *key, "signature").dropDuplicates(["id"]), "classes")
+    posted = classes.select("id", F.posexplode("signature").alias("c", "v")).select("id", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
     live = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     lists = posted.join(live.hint("merge"), "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("l")).filter(F.size("l") >= MATCHES)
     prefix = stored(lists.select("id", F.explode(F.slice("l", 1, F.size("l") - MATCHES + 1)).alias("p")).select("id", F.col("p.key").alias("key")), "prefixes")
-    byid = sets.select(F.col("cid").alias("id"), "n", "signature", "hashes")
     heads = prefix.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
     first = prefix.join(heads.hint("merge"), "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
-    links = _confirmed(first, byid, percent)
+    links = _confirmed(first, classes, docs, k, percent)
     labels = components(links)
     placed = stored(prefix.join(labels.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(mixed.hint("merge"), "key").join(sets.select(F.col("cid").alias("id"), "n").hint("merge"), "id").select("key", "id", "part", "n")
-    rest = stored(rest, "rest")
+    rest = stored(placed.join(mixed.hint("merge"), "key").join(classes.select("id", "n").hint("merge"), "id").select("key", "id", "part", "n"), "rest")
     x, y = (rest.select("key", F.col("id").alias(c), F.col("part").alias("p" + c), F.col("n").alias("n" + c)) for c in "ab")
     second = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("pa") < F.col("pb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
-    links = links.unionByName(_confirmed(second, byid, percent))
-    # back from classes to documents: a document and its class are linked as well
-    doc_links = links.join(names.select(F.col("cid").alias("a"), F.col("doc").alias("da")).hint("merge"), "a").join(names.select(F.col("cid").alias("b"), F.col("doc").alias("db")).hint("merge"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    multi = member.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    twice = member.join(multi.hint("merge"), "doc_id").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    found = components(doc_links.unionByName(twice).distinct())
-    belongs = member.groupBy("doc_id").agg(F.min("id").alias("id"))
-    of = belongs.join(found.hint("merge"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
-    return (
-        made.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(of.hint("merge"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    links = links.unionByName(_confirmed(second, classes, docs, k, percent))
+    # back from classes to documents: a class, and all classes of a repeated doc_id, are one vertex each
+    member = some.select("doc_id", name).distinct()
+    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
+    twice = member.join(several.hint("merge"), "doc_id").select("a", F.col("id").alias("b"))
+    labels = components(links.unionByName(twice).distinct())
+    first_doc = classes.select("id", "doc_id").join(labels.hint("merge"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    smallest = first_doc.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    of_class = stored(first_doc.join(smallest.hint("merge"), "part").select("id", "component_id"), "groups")
+    found = made.select("doc_id", F.col("n").alias("n_shingles"), name).join(of_class.hint("merge"), "id", "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
+    return found.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
