@@ -5,12 +5,13 @@ letters count as one word; long words are cut into overlapping windows) maps to
 ordered letter triples, also non-contiguous ones that span at most ``SPAN`` letters, each weighted
 DECAY to the letters spanned. Gapped insults and those with inserted characters keep most triples.
 
-Training. Labelled texts are cut into sentences. Landmarks are the words whose share of toxic
-sentences speaks most for and the most frequent words of clean ones. K(x, landmarks) times
+Training. Labelled texts are cut into sentences. Landmarks are the words that toxic texts hold
+too often for chance and the most frequent words of clean ones. K(x, landmarks) times
 the inverse square root of K(landmarks, landmarks) gives Nyström features, on which a
 squared-hinge SVM is fitted: every word of a clean text is a negative; positives are the words that
 toxic texts hold too often for chance, and for each toxic text without one its highest word, its
-witness, chosen again after each round. A text scores by its highest word; a logistic curve fitted on the training texts turns that into 0..1.
+witness, chosen again after each round. A text scores by its highest word; a logistic curve fitted
+on every third training text, which the machine has not seen, turns that into 0..1.
 
 The trained machine is one table of triple weights (35**3), so scoring sums table entries and
 needs no kernel evaluations. It never sees labels, lang, source or doc_id.
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 from .bytetext import mix, slices, utf8, words
 
 LETTERS, ORDER, SPAN, DECAY = 35, 3, 5, 0.6
-WINDOW, STRIDE, FEWEST = 24, 12, 3
+WINDOW, STRIDE, FEWEST = 24, 12, 4
 #: Most clean and most toxic rows that the machine is fitted on.
 SAMPLE_ROWS = (2000, 1000)
 LANDMARKS = 128
-CHANCE, ROUNDS = 1e-4, 3
+CHANCE, ROUNDS = 0.1, 3
 #: Weight of all negatives against that of all positives, and of the L2 term.
 CLEAN_WEIGHT, COST = 30.0, 1e-5
 
@@ -200,21 +201,30 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
     if not 0 < share < 1:
         return {"table": None, "share": share}
     codes, fs, fl, word, doc = _vocabulary(texts)
-    toxic = np.bincount(word, y[doc], len(fs))
-    clean = np.bincount(word, 1 - y[doc], len(fs))
-    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
-    worth = odds * np.sqrt(toxic) * (toxic >= min(3, y.sum())) * (odds > 0)
-    chosen = [i for i in np.argsort(-worth, kind="stable")[: landmarks // 2] if worth[i] > 0]
-    chosen += [i for i in np.argsort(-clean, kind="stable")[:landmarks] if i not in chosen][: landmarks - len(chosen)]
+    # every third text of each label is kept from the machine and serves its logistic curve
+    unseen = np.zeros(len(y), bool)
+    for label in (0, 1):
+        unseen[np.flatnonzero(y == label)[2::3]] = True
+    fitted = ~unseen[doc]
+    toxic = np.bincount(word, y[doc] * fitted, len(fs))
+    clean = np.bincount(word, (1 - y[doc]) * fitted, len(fs))
+    seen_toxic, seen_clean = (y * ~unseen).sum(), ((1 - y) * ~unseen).sum()
+    odds = np.log((toxic + 0.5) / (seen_toxic + 1)) - np.log((clean + 0.5) / (seen_clean + 1))
+    worth = odds * np.sqrt(toxic) * (odds > 0)
+    # words of so many toxic and so few clean texts that chance explains fewer than CHANCE of all of them
+    expected = (toxic + clean) * share
+    gain = np.where(toxic > expected, toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    gain += np.where(clean > 0, clean * np.log(np.maximum(clean, 1e-9) / np.maximum((toxic + clean) * (1 - share), 1e-9)), 0.0)
+    sure = np.flatnonzero((odds > 1) & (gain > np.log(max(len(fs), 1) / CHANCE)))
+    # landmarks: those words, then the most frequent of clean texts
+    chosen = [int(i) for i in sure[np.argsort(-worth[sure], kind="stable")][: landmarks // 2]]
+    chosen += [int(i) for i in np.argsort(-clean, kind="stable")[:landmarks] if i not in chosen][: landmarks - len(chosen)]
+    if not len(sure):
+        chosen = [int(i) for i in np.argsort(-worth, kind="stable")[: landmarks // 2]] + chosen[: landmarks // 2]
     maps = np.stack([table_of(_spelled(codes, fs, fl, i)) for i in chosen])
     value, vector = np.linalg.eigh((maps @ maps.T).astype(float))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     z = sums(codes, fs, fl, maps) @ root.astype(np.float32)
-    # words of so many toxic and so few clean texts that chance explains it at odds below CHANCE
-    expected = (toxic + clean) * share
-    gain = np.where(toxic > expected, toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-    gain += np.where(clean > 0, clean * np.log(np.maximum(clean, 1e-9) / np.maximum((toxic + clean) * (1 - share), 1e-9)), 0.0)
-    sure = np.flatnonzero((odds > 1) & (gain > -np.log(CHANCE)))
     score, negative = worth.copy(), clean > 0
     order = np.argsort(doc, kind="stable")
     word, doc = word[order], doc[order]
@@ -222,7 +232,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
     spoken = set(sure.tolist())
     for _ in range(ROUNDS):
         witness = Counter({int(i): int(toxic[i]) for i in sure})
-        for i in np.flatnonzero(y == 1):
+        for i in np.flatnonzero((y == 1) & ~unseen):
             own = word[bounds[i] : bounds[i + 1]]
             if len(own) and not spoken.intersection(own.tolist()):
                 best = own[np.argmax(score[own])]
@@ -238,9 +248,11 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
         w = _svm(z, rows, np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]), weight)
         score = z @ w[:-1].astype(np.float32) + w[-1]
     table = ((root @ w[:-1]) @ maps).astype(np.float32)
-    # logistic curve over the highest word of each training text
+    # logistic curve over the highest word of each text that the machine has not seen
     floor = float(w[-1])
     top = np.array([score[word[bounds[i] : bounds[i + 1]]].max() if bounds[i + 1] > bounds[i] else floor for i in range(len(texts))])
+    if y[unseen].any() and not y[unseen].all():
+        top, y = top[unseen], y[unseen]
     a, b = 1.0, 0.0
     goal = y.astype(float)
     for _ in range(200):
