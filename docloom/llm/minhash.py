@@ -78,6 +78,11 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, hashes binary")
 
 
+def _collisions(a: str, b: str):
+    """In how many coordinates two signatures agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose signatures collide often enough and whose full sets, made again
     from the texts of the classes concerned, reach the similarity."""
@@ -86,7 +91,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .filter(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= MATCHES)
+        .filter(_collisions("sa", "sb") >= MATCHES)
         .select("a", "b")
     )
     near = stored(near, "retained")
@@ -128,9 +133,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = components(links)
     placed = stored(prefix.join(labels.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    rest = stored(placed.join(mixed.hint("merge"), "key").join(classes.select("id", "n").hint("merge"), "id").select("key", "id", "part", "n"), "rest")
-    x, y = (rest.select("key", F.col("id").alias(c), F.col("part").alias("p" + c), F.col("n").alias("n" + c)) for c in "ab")
-    second = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("pa") < F.col("pb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
+    rest = stored(placed.join(mixed.hint("merge"), "key").join(classes.select("id", "n", "signature").hint("merge"), "id").select("key", "id", "part", "n", "signature"), "rest")
+    x, y = (rest.select("key", F.col("id").alias(c), F.col("part").alias("p" + c), F.col("n").alias("n" + c), F.col("signature").alias("s" + c)) for c in "ab")
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_collisions("sa", "sb") >= MATCHES)
+    second = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("pa") < F.col("pb")) & alike).select("a", "b").distinct()
     links = links.unionByName(_confirmed(second, classes, docs, k, percent))
     # back from classes to documents: a class, and all classes of a repeated doc_id, are one vertex each
     member = some.select("doc_id", name).distinct()
