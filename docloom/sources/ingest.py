@@ -84,8 +84,8 @@ def scan_statistics(diff: DataFrame, key: Column) -> DataFrame:
 def decode(files: DataFrame) -> DataFrame:
     """path, text of (path, content): UTF-8 (with or without a mark) in the JVM; other bytes try cp949,
     euc-kr and latin-1 in batches."""
-    good = F.is_valid_utf8(F.decode("content", "UTF-8")) & ~F.contains(F.decode("content", "UTF-8"), F.lit("�"))
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
 
     def other(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
