@@ -331,6 +331,31 @@ def test_lines_equal_brute_force(spark, documents):
     assert line_dedup.decisions(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("kind, least", [("word", 1.0), ("letters", 0.95), ("most letters", 0.7)])
+def test_lines_by_edit_similarity_alone(spark, kind, least):
+    random.seed(14)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 9))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 200:
+        own = random.choices(words, k=random.randint(8, 40))
+        a = " ".join(own)
+        if kind == "word":
+            own[random.randrange(len(own))] = random.choice(words)
+            b = " ".join(own)
+        else:
+            b = list(a)
+            for k in random.sample(range(len(b)), max(1, len(b) // (25 if kind == "letters" else 12))):
+                b[k] = random.choice("abcdefghijklmnopqrstuvwxyz")
+            b = "".join(b)
+        if a != b and edit_distance(a, b) <= max(len(a), len(b)) // 10:
+            pairs.append((a, b))
+    docs = frame(spark, [x for p in pairs for x in p])
+    gone = {r["doc_id"] for r in line_dedup.decisions(docs).collect() if r["n_dropped"]}
+    print(kind, len(gone) / len(pairs))
+    assert gone <= {2 * i + 1 for i in range(len(pairs))}
+    assert len(gone) >= least * len(pairs)
+
+
 def test_simhash_bits_are_majorities(spark):
     docs = frame(spark, ["alpha beta gamma delta", "alpha alpha beta"])
     words = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in "alpha beta gamma delta".split()], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
