@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping passages of ``PASSAGE`` characters (a shorter item is one
-passage). A passage of m characters tolerates k = floor(BUDGET * m) edits, fewer where the bound
+Benchmark items are cut into overlapping passages of ``PASSAGE`` characters and again of ``PART``
+(a shorter item is one passage), so every excerpt of PART + PART_STRIDE - 1 = 63 characters or more
+holds a whole passage, wherever it starts. A passage of m characters tolerates k = floor(BUDGET * m) edits, fewer where the bound
 below would not be positive. By the q-gram lemma a text region within k edits of the passage
 shares at least m - q + 1 - k * q of its q-grams, on diagonals that drift by at most k. Shared
 q-grams are counted for each text, passage and diagonal band; bands are 2k wide and overlap by k,
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .bytetext import slices
 
 Q, PASSAGE, STRIDE, BUDGET = 8, 96, 48, 0.10
-PART_CHARS = 4_000_000
+PART, PART_STRIDE = 48, 16
+#: With PART passages there are four times as many passages a character, hence no more than this.
+PART_CHARS = 1_000_000
 #: Longer than any region of a passage.
 STRETCH = 1024
 _U = np.uint64
@@ -82,10 +85,11 @@ class Benchmark:
         self.passages: list[tuple[int, np.ndarray, int]] = []
         for item, text in items:
             c = characters(text or "")
-            last = max(0, len(c) - PASSAGE)
-            for at in sorted({*range(0, last, STRIDE), last}):
-                if len(c):
-                    self.passages.append((item, c[at : at + PASSAGE], at))
+            for long, stride in ((PASSAGE, STRIDE), (PART, PART_STRIDE)):
+                last = max(0, len(c) - long)
+                for at in sorted({*range(0, last, stride), last}):
+                    if len(c) > (PART if long == PART else 0):
+                        self.passages.append((item, c[at : at + long], at))
         size = np.array([len(c) for _, c, _ in self.passages], np.int64)
         self.k = np.array([edits_allowed(m) for m in size.tolist()], np.int64)
         self.need = size - Q + 1 - self.k * Q

@@ -213,6 +213,15 @@ def test_decontamination_finds_planted_passages_only(spark, documents, sf_dir):
     assert base
 
 
+def test_excerpts_are_found_wherever_they_start():
+    random.seed(15)
+    item = " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 9))) for _ in range(40))
+    bench = decontam.Benchmark([(1, item)])
+    for at in range(len(item) - 64 + 1):
+        assert bench.search(["Nothing before. " + item[at : at + 64] + " nothing after."])
+    assert not bench.search(["a clean text of quite other words, long enough to hold q-grams of its own"])
+
+
 def test_banded_alignment_equals_edit_distance():
     random.seed(6)
     for _ in range(100):
