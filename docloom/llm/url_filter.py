@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "host_labels", "digit_ratio", "hyphen_ratio", "entropy", "params", "fragment", "suffix_share", "suffix_depth")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,15 +64,24 @@ def _entropy(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares])
 
 
-def with_features(parts: DataFrame, suffixes: dict[str, tuple[float, float]]) -> DataFrame:
-    """Adds FEATURES. ``suffixes``: the most frequent suffixes with their statistics; others count as rare."""
+def with_features(parts: DataFrame, suffixes: dict[str, tuple[float, float]], rest: DataFrame | None = None) -> DataFrame:
+    """Adds FEATURES. ``suffixes``: the most frequent suffixes with their statistics; ``rest``: a table
+    (suffix, share, mean_depth) of all others, each of fewer rows than any of those, so that the join
+    has no hot key."""
+    if rest is not None:
+        own = F.substring_index("host", ".", -1)
+        top = own.isin(list(suffixes))
+        cold = parts.filter(~top).withColumn("suffix", own).join(rest.hint("merge"), "suffix").drop("suffix")
+        known = parts.filter(top).withColumns({"share": F.lit(None).cast("double"), "mean_depth": F.lit(None).cast("double")})
+        parts = known.unionByName(cold)
     url = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
     suffix = F.substring_index("host", ".", -1)
 
     def looked_up(i: int) -> Column:
         pairs = [x for k, v in suffixes.items() for x in (F.lit(k), F.lit(float(v[i])))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), suffix), F.lit(0.0)) if pairs else F.lit(0.0)
+        found = [F.try_element_at(F.create_map(*pairs), suffix)] if pairs else []
+        return F.coalesce(*found, *([F.col(("share", "mean_depth")[i])] if rest is not None else []), F.lit(0.0))
 
     return parts.select(
         "*",
@@ -93,24 +104,29 @@ def url_filter(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, suffix_
     """page_id, host, path, rule, verdict, block_score for every row.
 
     ``sample_rows`` bounds the labelled URLs that the trees are fitted on (the first by a hash of
-    the URL); ``suffix_rows`` bounds the suffix table (the most frequent), while the statistics in
-    it are counted over all rows.
+    the URL); ``suffix_rows`` bounds the suffixes looked up in memory (the most frequent), all others
+    are joined as a table. Statistics are counted over all rows.
     """
     parts = with_parts(pages, rules)
     by = parts.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("n"), F.avg(F.regexp_count("path", F.lit("/"))).alias("depth"))
     n_rows = parts.agg(F.count("*").alias("total"))
-    top = by.orderBy(F.desc("n"), "suffix").limit(suffix_rows).collect()
+    top = by.orderBy(F.desc("n"), "suffix").limit(suffix_rows + 1).collect()
+    more, top = len(top) > suffix_rows, top[:suffix_rows]
     rows = max(1, n_rows.first()["total"])
     suffixes = {r["suffix"]: (r["n"] / rows, r["depth"]) for r in top}
+    rest = None
+    if more:
+        share = F.col("n").cast("double") / F.lit(float(rows))
+        rest = stored(by.filter(~F.col("suffix").isin(list(suffixes))).select("suffix", share.alias("share"), F.col("depth").alias("mean_depth")), "suffixes")
     labelled = (
         parts.filter(F.col("rule").isNotNull())
         .orderBy(F.xxhash64("url"), "page_id")
         .limit(sample_rows)
         .select("page_id", "url", "host", "path", F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0).alias("label"))
     )
-    train = with_features(labelled, suffixes).select("label", *FEATURES).repartition(6)
+    train = with_features(labelled, suffixes, rest).select("label", *FEATURES).repartition(6)
     kinds = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    judged = with_features(parts, suffixes)
+    judged = with_features(parts, suffixes, rest)
     if len(kinds) < 2:
         only = F.lit(1.0 if default == "block" else 0.0)
         scored = judged.withColumn("block_score", only)

@@ -444,6 +444,14 @@ def test_url_rules(spark):
     assert url_filter.url_filter(pages.limit(0)).count() == 0
 
 
+def test_url_suffixes_beyond_memory_count_the_same(spark):
+    kinds = ["net", "org/fr/", "com/de/"]
+    urls = [f"http://example.{kinds[i % 3]}/{'a/' * (i % 5)}{i}" for i in range(300)] + [f"http://h{i}.s{i % 40}/{'b/' * (i % 40 % 7)}" for i in range(400)]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    few, all_ = ({r["page_id"]: r["block_score"] for r in url_filter.url_filter(pages, suffix_rows=n, rounds=2).collect()} for n in (2, 1000))
+    assert len(few) == len(urls) and few == all_
+
+
 def test_url_query_covers_all_pages(spark, sf_dir):
     found = queries.op2_url_filter(spark, sf_dir)
     assert found.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
