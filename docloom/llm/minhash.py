@@ -1,47 +1,78 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-A document is its set of distinct k-word shingles and a signature of ``COORDINATES`` minima.
-Documents are posted under each (coordinate, value) pair. Documents with equal sets are one class
-with one representative, so copies never meet each other in a posting list. A pair is retained if
-it collides in at least ``MATCHES`` coordinates; at Jaccard 0.8 a pair falls short of that with a
-probability below 1e-6. Merging is by prefix and skip: postings that only one class holds are
-skipped, a class with fewer than ``MATCHES`` live postings is skipped, and only the
-``live - MATCHES + 1`` rarest postings of a class make candidates (two classes that collide often
-enough share one of those); the others only count. Retained pairs are confirmed on the full sets.
+A document is its set of distinct k-word shingles, a signature of ``COORDINATES`` minima and a
+sketch: four bits of each of ``COMPARED`` minima, packed into longs. Documents are posted under each
+(coordinate, value) pair of the signature. Documents with equal sets are one class, named by
+its smallest doc_id, so copies never meet each other in a posting list. A pair is retained if it
+collides in at least ``MATCHES`` coordinates of the sketch; that and the ``LIVE`` bound below let a
+pair of Jaccard 0.8 slip with a probability of about 1.2e-6. Merging is by prefix and skip:
+postings that only one class holds are skipped, a class with fewer than ``LIVE`` live postings is
+skipped, and only the ``live - LIVE + 1`` rarest postings of a class make candidates (two classes
+that collide often enough share one of those). Collisions and sizes are compared inside the join of
+lists, so only retained pairs leave it; these are confirmed on the full sets.
 
 Groups. In a first pass every class meets only the smallest class of each of its posting lists;
-what is confirmed is joined into components. In the second pass only lists that still hold
-more than one component are merged, and only pairs of different components. So a list of n
-near copies costs n pairs, not n squared, and no link between components is lost.
+what is confirmed is joined into components. After that only lists that still hold more than
+one component are merged, and only pairs of different components. Classes that still have a partner there
+get one bit of each of ``FINE`` minima, which tells 0.74 from 0.8, and a pair leaves the join under the first
+of its common keys alone. First five of sixteen parts of the pairs (those whose ids' four hash bits differ in one bit or none,
+so that all parts stay connected) are confirmed and joined into components, then the pairs that these
+leave. So a list of n near copies costs about n pairs, and no link between components is lost.
 
 Cases: null and empty texts, and texts without words, have an empty set and link with nothing;
 fewer than k words are one shingle; repeated doc_ids are one document whose sets are all linked;
 rows with a null doc_id take no part in links and are kept; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names. A text is
+held whole, with some 30 bytes of working memory a byte.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import mix, shingles, slices, utf8
 from .bitmap import maybe_in
+from .bytetext import mix, shingles, slices, utf8
 from .graph import components
-from .scratch import stored
+from .scratch import released, stored
 
-COORDINATES, MATCHES = 32, 14
+COORDINATES, LIVE = 32, 14
+COMPARED, MATCHES = 128, 80
+#: Bits of the fine sketch, and how many may differ: 204.8 do on average at 0.8, five deviations below 273.
+FINE, DIFFER = 2048, 273
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(97))
-_A = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) << _U(1) | _U(1)
-_B = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_A = (_rng.integers(0, 2**32, FINE, dtype=np.uint64) | _U(1)).astype(np.uint32)
+_B = _rng.integers(0, 2**32, FINE, dtype=np.uint64).astype(np.uint32)
+#: Longs of the sketch, sixteen minima each.
+_LONGS = COMPARED // 16
+_LOW = 0x1111111111111111
+
+
+def minima(sets: list[np.ndarray], coordinates: int = COMPARED) -> np.ndarray:
+    """sets x coordinates minima of the non-empty sets, one pass over all their hashes a coordinate."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if not len(size):
+        return np.zeros((0, coordinates), np.uint32)
+    h, first = (np.concatenate(sets) >> _U(32)).astype(np.uint32), np.cumsum(size) - size
+    return np.stack([np.minimum.reduceat(h * a + b, first) for a, b in zip(_A[:coordinates], _B[:coordinates], strict=True)], axis=1)
+
 
+def sketch(low: np.ndarray) -> np.ndarray:
+    """Four mixed bits of each minimum -> sets x _LONGS signed longs."""
+    four = ((low * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(_U).reshape(len(low), _LONGS, 16)
+    return (four << (_U(4) * np.arange(16, dtype=_U))).sum(2, dtype=_U).astype(np.int64)
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes[None, :] * _A[:, None] + _B[:, None]) >> _U(33)).min(1).astype(np.int32)
+
+def fine_bits(low: np.ndarray) -> np.ndarray:
+    """One mixed bit of each minimum -> sets x FINE / 64 signed longs."""
+    one = ((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(one, axis=1, bitorder="little").view(np.int64)
 
 
 def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -53,17 +84,21 @@ def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, f1, f2 (size and fingerprint of the set), signature array<int>."""
+    """doc_id, n, f1, f2 (size and fingerprint of the set), signature array<int>, sketch array<long>."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingles(*utf8(part.column(1)), k)
-                signs = np.concatenate([signature(s) for s in sets if len(s)] or [np.zeros(0, np.int32)])
-                at = np.cumsum([0, *(COORDINATES if len(s) else 0 for s in sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_sums(sets), pa.ListArray.from_arrays(pa.array(at), pa.array(signs))], ["doc_id", "n", "f1", "f2", "signature"])
+                some = np.array([len(s) > 0 for s in sets], bool)
+                low = minima([s for s in sets if len(s)])
+                lists = []
+                for rows in (low[:, :COORDINATES].astype(np.int32), sketch(low)):
+                    at = np.concatenate([[0], np.cumsum(some * rows.shape[1])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel())))
+                yield pa.RecordBatch.from_arrays([part.column(0), *_sums(sets), *lists], ["doc_id", "n", "f1", "f2", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, signature array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, signature array<int>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -78,39 +113,63 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, hashes binary")
 
 
-def _collisions(a: str, b: str):
-    """In how many coordinates two signatures agree."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose signatures collide often enough and whose full sets, made again
-    from the texts of the classes concerned, reach the similarity."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("signature").alias("s" + c)).hint("merge")
-    near = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .filter(_collisions("sa", "sb") >= MATCHES)
-        .select("a", "b")
-    )
-    near = stored(near, "retained")
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    asked = stored(classes.join(ids.hint("merge"), "id", "left_semi").select("id", "doc_id", "n", "f1", "f2"), "asked")
-    made = full_sets(maybe_in(docs.select("doc_id", "text"), asked, "doc_id"), k)
-    full = stored(made.join(asked.hint("merge"), ["doc_id", "n", "f1", "f2"]).select("id", "hashes").dropDuplicates(["id"]), "sets")
+def fine_sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, f1, f2, fine array<long> of the rows that have words."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingles(*utf8(part.column(1)), k)
+                some = [i for i, s in enumerate(sets) if len(s)]
+                sets = [sets[i] for i in some]
+                bits = fine_bits(minima(sets, FINE))
+                at = np.arange(len(sets) + 1, dtype=np.int32) * bits.shape[1]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some, pa.int64())), *_sums(sets), pa.ListArray.from_arrays(pa.array(at), pa.array(bits.ravel()))], ["doc_id", "n", "f1", "f2", "fine"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, fine array<long>")
+
+
+_SET = ["id", "n", "f1", "f2"]
+_LANES = [f"s{i}" for i in range(_LONGS)]
+
+
+def _alike(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets, structs of n and sketch longs, may reach the similarity: their sizes allow it
+    and they collide in at least MATCHES coordinates (four equal bits count as a collision)."""
+
+    def equal(lane: str) -> Column:
+        d = x[lane].bitwiseXOR(y[lane])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(_LOW)))
+
+    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    return sizes & (reduce(lambda p, q: p + q, [equal(c) for c in _LANES]) <= COMPARED - MATCHES)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (x, y) of sets, structs of id, n, f1 and f2, the links (a, b) of ids whose full sets, made
+    again from the texts concerned, reach the similarity."""
+    near = stored(pairs.distinct(), "retained")
+    if near.isEmpty():
+        return near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    asked = stored(near.select("x.*").union(near.select("y.*")).distinct(), "asked")
+    made = full_sets(maybe_in(docs.select("doc_id", "text"), asked, "id", "doc_id"), k).withColumnRenamed("doc_id", "id")
+    full = stored(made.join(asked.hint("merge"), _SET).select(F.struct(*_SET).alias("set"), "hashes").dropDuplicates(["set"]), "sets")
 
     def check(frames):
         for f in frames:
             keep = []
-            for x, y in zip(f["ha"], f["hb"], strict=True):
+            for x, y in zip(f["hx"], f["hy"], strict=True):
                 x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pd.DataFrame({"a": f["a"][keep], "b": f["b"][keep]})
 
-    sets = lambda c: full.select(F.col("id").alias(c), F.col("hashes").alias("h" + c)).hint("merge")
-    return stored(near.join(sets("a"), "a").join(sets("b"), "b").mapInPandas(check, "a long, b long"), "links")
+    sets = lambda c: full.select(F.col("set").alias(c), F.col("hashes").alias("h" + c)).hint("merge")
+    told = near.join(sets("x"), "x").join(sets("y"), "y").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "hx", "hy")
+    links = stored(told.mapInPandas(check, "a long, b long").distinct(), "links")
+    released(near, asked, full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -119,36 +178,60 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     made = stored(fingerprints(docs, k), "fingerprints")
     some = made.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     key = ["n", "f1", "f2"]
-    reps = some.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    # a class is named by a hash of its fingerprint, so a doc_id that is repeated with other texts can stand for several
-    name = F.xxhash64(*key).alias("id")
-    classes = stored(some.join(reps.hint("merge"), ["doc_id", *key]).select(name, "doc_id", *key, "signature").dropDuplicates(["id"]), "classes")
-    posted = classes.select("id", F.posexplode("signature").alias("c", "v")).select("id", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
-    live = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    lists = posted.join(live.hint("merge"), "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("l")).filter(F.size("l") >= MATCHES)
-    prefix = stored(lists.select("id", F.explode(F.slice("l", 1, F.size("l") - MATCHES + 1)).alias("p")).select("id", F.col("p.key").alias("key")), "prefixes")
-    heads = prefix.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    first = prefix.join(heads.hint("merge"), "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
-    links = _confirmed(first, classes, docs, k, percent)
+    reps = some.groupBy(*key).agg(F.min("doc_id").alias("id"))
+    first_of = some.join(reps.hint("merge"), key).filter("doc_id = id")
+    classes = stored(first_of.select(*_SET, "signature", *(F.col("sketch")[i].alias(c) for i, c in enumerate(_LANES))).dropDuplicates(_SET), "classes")
+    posted = classes.select(*_SET, F.posexplode("signature").alias("c", "v")).select(*_SET, (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
+    live = posted.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+    lists = posted.join(live.hint("merge"), "key").groupBy(*_SET).agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("l")).filter(F.size("l") >= LIVE)
+    rare = lists.select(*_SET, F.slice("l.key", 1, F.size("l") - LIVE + 1).alias("l")).withColumn("all", F.transform("l", lambda x: F.hash(x)))
+    own = rare.join(classes.select(*_SET, *_LANES).hint("merge"), _SET).select(F.struct(*_SET, *_LANES).alias("x"), "all", F.explode("l").alias("key"))
+    prefix = stored(own, "prefixes")
+    pair = [F.struct(*(F.col(f"{c}.{f}") for f in _SET)).alias(c) for c in "xy"]
+    alike = _alike(F.col("x"), F.col("y"), percent)
+    heads = prefix.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("times")).filter("times > 1").select("key", "y")
+    first = prefix.join(heads.hint("merge"), "key").filter((F.col("x") != F.col("y")) & alike).select(*pair)
+    links = _confirmed(first, docs, k, percent)
     labels = components(links)
-    placed = stored(prefix.join(labels.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    rest = stored(placed.join(mixed.hint("merge"), "key").join(classes.select("id", "n", "signature").hint("merge"), "id").select("key", "id", "part", "n", "signature"), "rest")
-    x, y = (rest.select("key", F.col("id").alias(c), F.col("part").alias("p" + c), F.col("n").alias("n" + c), F.col("signature").alias("s" + c)) for c in "ab")
-    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_collisions("sa", "sb") >= MATCHES)
-    second = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("pa") < F.col("pb")) & alike).select("a", "b").distinct()
-    links = links.unionByName(_confirmed(second, classes, docs, k, percent))
-    # back from classes to documents: a class, and all classes of a repeated doc_id, are one vertex each
-    member = some.select("doc_id", name).distinct()
-    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
-    twice = member.join(several.hint("merge"), "doc_id").select("a", F.col("id").alias("b"))
-    labels = components(links.unionByName(twice).distinct())
-    first_doc = classes.select("id", "doc_id").join(labels.hint("merge"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-    smallest = first_doc.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    of_class = stored(first_doc.join(smallest.hint("merge"), "part").select("id", "component_id"), "groups")
-    found = made.select("doc_id", F.col("n").alias("n_shingles"), name).join(of_class.hint("merge"), "id", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
-    return found.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+    def unmet(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of lists that hold more than one component, as part."""
+        part = F.coalesce("component", "x.id").alias("part")
+        placed = rows.withColumn("id", F.col("x.id")).join(labels.hint("merge"), "id", "left").select(*rows.columns, part)
+        mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("times")).filter("lo < hi and times > 2").select("key")
+        return stored(placed.join(mixed.hint("merge"), "key").select(*rows.columns, "part"), "unmet")
+
+    rest = unmet(prefix, labels)
+    other = rest.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("part").alias("other")).hint("merge")
+    some_left = rest.join(other, (F.col("key") == F.col("k")) & (F.col("part") != F.col("other")) & alike, "left_semi")
+    some_left = stored(some_left.select(F.col("x.id").alias("id"), "x", "all", "key"), "candidates")
+    fine = stored(fine_sketches(maybe_in(docs.select("doc_id", "text"), some_left.select("id").distinct(), "id", "doc_id"), k), "fine")
+    fine = fine.select(F.col("doc_id").alias("id"), "n", "f1", "f2", F.struct(*(F.col("fine")[i].alias(f"b{i}") for i in range(FINE // 64))).alias("bits")).dropDuplicates(_SET)
+    rows = some_left.select("x", "all", "key", *(F.col(f"x.{c}").alias(c) for c in _SET)).join(fine.hint("merge"), _SET).select("x", "all", "key", "bits")
+    rows, found = stored(rows, "fine-rows"), [links]
+    for more in (True, False):
+        rest_now = unmet(rows, labels)
+        other = rest_now.select("key", F.col("x").alias("y"), F.col("part").alias("other"), F.col("all").alias("all_y"), F.col("bits").alias("bits_y")).hint("merge")
+        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"bits.b{i}").bitwiseXOR(F.col(f"bits_y.b{i}"))) for i in range(FINE // 64)])
+        spread = F.pmod(F.xxhash64("x.id"), F.lit(16)).bitwiseXOR(F.pmod(F.xxhash64("y.id"), F.lit(16)))
+        asked = (F.col("part") < F.col("other")) & alike & (differ <= DIFFER) & (F.hash("key") == F.array_min(F.array_intersect("all", "all_y")))
+        pairs = rest_now.join(other, "key").filter(asked & (F.bit_count(spread) <= 1) if more else asked).select(*pair)
+        found.append(_confirmed(pairs, docs, k, percent))
+        released(rest_now)
+        if more and not found[-1].isEmpty():
+            labels = components(reduce(DataFrame.unionByName, found))
+    links = reduce(DataFrame.unionByName, found)
+    # a doc_id that is repeated with several sets links their classes
+    several = some.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2") for f in (F.min, F.max))).filter("min_f1 < max_f1 or min_f2 < max_f2")
+    member = some.join(several.select("doc_id").hint("merge"), "doc_id").join(reps.hint("merge"), key).select("doc_id", "id").distinct()
+    twice = member.join(member.groupBy("doc_id").agg(F.min("id").alias("a")).hint("merge"), "doc_id").select("a", F.col("id").alias("b")).filter("a < b")
+    labels = components(links.unionByName(twice))
+    of_class = stored(reps.join(labels.hint("merge"), "id", "left").select(*key, F.coalesce("component", "id").alias("component")), "groups")
+    found = made.select("doc_id", *key).join(of_class.hint("merge"), key, "left")
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
+    released(classes, prefix, rest, some_left, rows)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
