@@ -87,11 +87,11 @@ class ByteBPE:
         import sentencepiece
 
         self.ranks = read_ranks(path)
-        self.tokens = sorted(self.ranks, key=self.ranks.get)
         self.find = regex.compile(pattern or public_tokenizers.PATTERN).findall
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.map = {b: c for b, c in enumerate(byte_characters())}
-        self.inverse = {c: b for b, c in self.map.items()}
+        self.pieces = ["".join(self.map[b] for b in t) for t in sorted(self.ranks, key=self.ranks.get)]
+        self.inverse = {ord(c): chr(b) for b, c in self.map.items()}
         self.known: dict[str, bytes] = {}
 
     def _learn(self, matches: list[str]) -> None:
@@ -127,7 +127,9 @@ class ByteBPE:
             return [len(self.known[m]) >> 2 for m in matches]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The pieces of ``ids``, each character mapped back to its byte."""
+        pieces = "".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return pieces.translate(self.inverse).encode("latin-1")
 
 
 _loaded: dict[str, ByteBPE] = {}
