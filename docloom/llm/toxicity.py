@@ -10,8 +10,9 @@ too often for chance and the most frequent words of clean ones. K(x, landmarks)
 the inverse square root of K(landmarks, landmarks) gives Nyström features, on which a
 squared-hinge SVM is fitted: every word of a clean text is a negative; positives are the words that
 toxic texts hold too often for chance, and for each toxic text without one its highest word, its
-witness, chosen again after each round. A text scores by its highest word; a logistic curve fitted
-on every third training text, which the machine has not seen, turns that into 0..1.
+witness, chosen again after each round. A text is judged by its ``TOP`` highest distinct words and the number of
+its distinct words (of many words some are high by chance); a logistic model of these, fitted on every
+third training text, which the machine has not seen, gives 0..1.
 
 The trained machine is one table of triple weights (35**3), so scoring sums table entries and
 needs no kernel evaluations. It never sees labels, lang, source or doc_id.
@@ -40,6 +41,7 @@ WINDOW, STRIDE, FEWEST = 24, 12, 4
 SAMPLE_ROWS = (2000, 1000)
 LANDMARKS = 128
 CHANCE, ROUNDS = 0.1, 3
+TOP = 3
 #: Weight of all negatives against that of all positives, and of the L2 term.
 CLEAN_WEIGHT, COST = 30.0, 1e-5
 
@@ -163,6 +165,33 @@ def _svm(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
     return w
 
 
+def _facts(row: np.ndarray, value: np.ndarray, rows: int, floor: float) -> np.ndarray:
+    """rows x TOP + 1: of distinct words (their rows and values) the TOP highest of each row, ``floor`` for want of
+    words, and the logarithm of their number."""
+    out = np.full((rows, TOP + 1), floor)
+    order = np.lexsort((-value, row))
+    row, value = row[order], value[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    high = rank < TOP
+    out[row[high], rank[high]] = value[high]
+    out[:, TOP] = np.log1p(np.bincount(row, minlength=rows))
+    return out
+
+
+def _logistic(facts: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Weights and intercept of a ridge logistic regression, by Newton steps over standardised columns."""
+    mean, spread = facts.mean(0), facts.std(0) + 1e-9
+    x = np.hstack([(facts - mean) / spread, np.ones((len(facts), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (p - goal) + 0.1 * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
+
+
 def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(letter codes, start and length of each distinct word; word and text of each distinct pair),
     gathered sentence by sentence from a bounded number of characters at a time."""
@@ -248,36 +277,27 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
         w = _svm(z, rows, np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]), weight)
         score = z @ w[:-1].astype(np.float32) + w[-1]
     table = ((root @ w[:-1]) @ maps).astype(np.float32)
-    # logistic curve over the highest word of each text that the machine has not seen
     floor = float(w[-1])
-    top = np.array([score[word[bounds[i] : bounds[i + 1]]].max() if bounds[i + 1] > bounds[i] else floor for i in range(len(texts))])
+    facts = _facts(doc, score[word], len(texts), floor)
     if y[unseen].any() and not y[unseen].all():
-        top, y = top[unseen], y[unseen]
-    a, b = 1.0, 0.0
-    goal = y.astype(float)
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        g, h = p - goal, np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([(g * top).sum() + 0.01 * a, g.sum()])
-        hess = np.array([[(h * top * top).sum() + 0.01, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return {"table": table, "bias": floor, "slope": float(a), "shift": float(b), "share": share}
+        facts, y = facts[unseen], y[unseen]
+    return {"table": table, "bias": floor, "weights": _logistic(facts, y.astype(float)), "share": share}
 
 
 def scores(model: dict, column) -> np.ndarray:
     raw, off = utf8(column)
     if model["table"] is None:
         return np.full(len(off) - 1, model["share"])
-    top = np.full(len(off) - 1, model["bias"])
+    n = len(off) - 1
     codes, start, length, row = pieces(raw, off)
+    value = np.zeros(0)
     if len(start):
         first, which = distinct(codes, start, length)
-        value = sums(codes, start[first], length[first], model["table"][None])[:, 0] + model["bias"]
-        np.maximum.at(top, row, value[which])
-    return 1 / (1 + np.exp(-np.clip(model["slope"] * top + model["shift"], -30, 30)))
+        pair = np.unique(row * len(first) + which)
+        row, which = pair // len(first), pair % len(first)
+        value = (sums(codes, start[first], length[first], model["table"][None])[:, 0] + model["bias"])[which].astype(float)
+    facts = _facts(row, value, n, model["bias"])
+    return 1 / (1 + np.exp(-np.clip(facts @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
 
 
 def held_out(doc_id: Column) -> Column:
