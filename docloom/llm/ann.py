@@ -29,9 +29,10 @@ from pyspark.sql import Window
 from .scratch import stored
 
 #: Centroids of each half; rows of the sample that the codebooks are fitted on.
-CENTROIDS, SAMPLE_ROWS = 16, 20_000
-#: Share of all rows that the visited cells hold at least, and least number of them.
-SHARE, LEAST = 0.7, 4000
+CENTROIDS, SAMPLE_ROWS = 64, 20_000
+#: Share of all rows that the visited cells hold at least, and rows for each neighbour asked for (so that
+#: tables of a few hundred rows still give k neighbours).
+SHARE, ROWS_EACH = 0.5, 20
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 32_768
 
 
@@ -90,7 +91,7 @@ def walk(d0: np.ndarray, d1: np.ndarray, sizes: np.ndarray, enough: int) -> list
 def best(q: np.ndarray, qid: np.ndarray, mask: np.ndarray, x: np.ndarray, vid: np.ndarray, cell: np.ndarray, k: int):
     """(query, row, score) of the k best visited rows of each query; sums run in component order."""
     s = q @ x.T
-    s[(mask[:, None] >> cell[None, :]) & 1 == 0] = -np.inf
+    s[(mask[:, None] >> cell[None, :].astype(np.uint64)) & np.uint64(1) == 0] = -np.inf
     s[qid[:, None] == vid[None, :]] = -np.inf
     kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
     low = np.where(np.isfinite(kth), kth - 1e-9 * (1 + np.abs(kth)), -np.inf)
@@ -105,9 +106,9 @@ def best(q: np.ndarray, qid: np.ndarray, mask: np.ndarray, x: np.ndarray, vid: n
     return a[keep], b[keep], exact[keep]
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = CENTROIDS, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best found for each row whose vec_id is divisible by ``every``."""
-    assert centroids <= 62
+    assert centroids <= 64, "visited cells of a group are the bits of a long"
     own = usable(vectors)
     books = codebooks(own, centroids)
 
@@ -123,7 +124,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = C
     for r in rows.groupBy("c0", "c1").agg(F.count("*").alias("n")).collect():  # at most centroids**2 rows
         sizes[r["c0"], r["c1"]] = r["n"]
     total = int(sizes.sum())
-    enough = max(least, int(np.ceil(share * total)))
+    enough = max(ROWS_EACH * k, int(np.ceil(share * total)))
     salts = np.maximum(1, -(-sizes.sum(1) // BLOCK_ROWS))
     asked = rows.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
@@ -137,7 +138,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = C
                 want: dict[int, int] = {}
                 for a, b in walk(d0[i], d1[i], sizes, enough):
                     want[a] = want.get(a, 0) | 1 << b
-                out += [(int(f["vec_id"].iloc[i]), f["embedding"].iloc[i], a, s, m) for a, m in want.items() if sizes[a].any() for s in range(int(salts[a]))]
+                out += [(int(f["vec_id"].iloc[i]), f["embedding"].iloc[i], a, s, m - (m >> 63 << 64)) for a, m in want.items() if sizes[a].any() for s in range(int(salts[a]))]
             if out:
                 yield pd.DataFrame(out, columns=["vec_id", "embedding", "c0", "salt", "mask"])
 
@@ -150,7 +151,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = C
         out = []
         if len(left) and len(right):
             x, vid, cell = np.array(right["embedding"].tolist()), right["vec_id"].to_numpy(), right["c1"].to_numpy(np.int64)
-            q, qid, mask = np.array(left["embedding"].tolist()), left["vec_id"].to_numpy(), left["mask"].to_numpy(np.int64)
+            q, qid, mask = np.array(left["embedding"].tolist()), left["vec_id"].to_numpy(), left["mask"].to_numpy(np.int64).view(np.uint64)
             for lo in range(0, len(q), 256):
                 to = slice(lo, lo + 256)
                 a, b, s = best(q[to], qid[to], mask[to], x, vid, cell, k)
