@@ -6,7 +6,7 @@ functions and ``pyspark.ml`` (JVM), without Python code on the executors.
 
 Cases: a null URL or one without ``://`` has an empty host and path, no rule, and is judged by
 the trees on its empty features; without labelled URLs of both kinds the default verdict holds;
-repeated rows are kept; an empty table gives no rows; extra columns are carried through.
+repeated rows are kept; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,11 +57,11 @@ def with_parts(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits a character over the classes of ``a-z0-9-./`` and all else, from lengths alone."""
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    kinds = ["[a-e]", "[f-j]", "[k-o]", "[p-t]", "[u-z]", "[A-Z]", "[0-4]", "[5-9]", "[-_]", "[./]", "[=&?#%]"]
-    shares = [F.regexp_count(text, F.lit(k)) / n for k in kinds]
-    return reduce(lambda a, b: a + b, [F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares])
+    """Bits a character over the distinct characters of ``text``; 0 for an empty one."""
+    n = F.length(text)
+    times = lambda c: (n - F.length(F.replace(text, c, F.lit("")))).cast("double")
+    plain = F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda total, c: total + F.when(c != "", times(c) * F.log2(times(c))).otherwise(0.0))
+    return F.when(n > 0, F.log2(n.cast("double")) - plain / n).otherwise(0.0)
 
 
 def with_features(parts: DataFrame, suffixes: dict[str, tuple[float, float]], rest: DataFrame | None = None) -> DataFrame:
@@ -100,6 +100,41 @@ def with_features(parts: DataFrame, suffixes: dict[str, tuple[float, float]], re
     )
 
 
+def _suffixes(parts: DataFrame, suffix_rows: int) -> tuple[dict[str, tuple[float, float]], DataFrame | None]:
+    """(statistics of the most frequent suffixes, table of all others if there are more)."""
+    by = parts.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("n"), F.avg(F.regexp_count("path", F.lit("/"))).alias("depth"))
+    n_rows = parts.agg(F.count("*").alias("total"))
+    top = by.orderBy(F.desc("n"), "suffix").limit(suffix_rows + 1).collect()
+    more, top = len(top) > suffix_rows, top[:suffix_rows]
+    rows = max(1, n_rows.first()["total"])
+    suffixes = {r["suffix"]: (r["n"] / rows, r["depth"]) for r in top}
+    if not more:
+        return suffixes, None
+    share = F.col("n").cast("double") / F.lit(float(rows))
+    return suffixes, stored(by.filter(~F.col("suffix").isin(list(suffixes))).select("suffix", share.alias("share"), F.col("depth").alias("mean_depth")), "suffixes")
+
+
+def _labelled(parts: DataFrame) -> DataFrame:
+    return parts.filter(F.col("rule").isNotNull()).select("page_id", "url", "host", "path", F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0).alias("label"))
+
+
+def _trees(labelled: DataFrame, statistics: tuple, sample_rows: int, rounds: int, depth: int):
+    """Trees fitted on the first ``sample_rows`` of labelled URLs by a hash, or None without both labels."""
+    sample = labelled.orderBy(F.xxhash64("url"), "page_id").limit(sample_rows)
+    train = with_features(sample, *statistics).select("label", *FEATURES).repartition(6)
+    if train.select("label").distinct().count() < 2:
+        return None
+    return GBTClassifier(labelCol="label", featuresCol="_features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(_gather().transform(train))
+
+
+def _gather() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+
+
+def _scored(trees, rows: DataFrame) -> DataFrame:
+    return trees.transform(_gather().transform(rows)).withColumn("block_score", F.element_at(vector_to_array("probability"), 2))
+
+
 def url_filter(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, suffix_rows: int = 500, rounds: int = 10, depth: int = 3, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every row.
 
@@ -108,31 +143,22 @@ def url_filter(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, suffix_
     are joined as a table. Statistics are counted over all rows.
     """
     parts = with_parts(pages, rules)
-    by = parts.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("n"), F.avg(F.regexp_count("path", F.lit("/"))).alias("depth"))
-    n_rows = parts.agg(F.count("*").alias("total"))
-    top = by.orderBy(F.desc("n"), "suffix").limit(suffix_rows + 1).collect()
-    more, top = len(top) > suffix_rows, top[:suffix_rows]
-    rows = max(1, n_rows.first()["total"])
-    suffixes = {r["suffix"]: (r["n"] / rows, r["depth"]) for r in top}
-    rest = None
-    if more:
-        share = F.col("n").cast("double") / F.lit(float(rows))
-        rest = stored(by.filter(~F.col("suffix").isin(list(suffixes))).select("suffix", share.alias("share"), F.col("depth").alias("mean_depth")), "suffixes")
-    labelled = (
-        parts.filter(F.col("rule").isNotNull())
-        .orderBy(F.xxhash64("url"), "page_id")
-        .limit(sample_rows)
-        .select("page_id", "url", "host", "path", F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0).alias("label"))
-    )
-    train = with_features(labelled, suffixes, rest).select("label", *FEATURES).repartition(6)
-    kinds = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    judged = with_features(parts, suffixes, rest)
-    if len(kinds) < 2:
-        only = F.lit(1.0 if default == "block" else 0.0)
-        scored = judged.withColumn("block_score", only)
+    statistics = _suffixes(parts, suffix_rows)
+    trees = _trees(_labelled(parts), statistics, sample_rows, rounds, depth)
+    judged = with_features(parts, *statistics)
+    if trees is None:
+        scored = judged.withColumn("block_score", F.lit(1.0 if default == "block" else 0.0))
     else:
-        gather = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-        trees = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(gather.transform(train))
-        scored = trees.transform(gather.transform(judged)).withColumn("block_score", F.element_at(vector_to_array("probability"), 2))
+        scored = _scored(trees, judged)
     by_model = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "block_score")
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, suffix_rows: int = 500, rounds: int = 10, depth: int = 3) -> DataFrame:
+    """label, rows, right: how trees fitted on four fifths of the labelled URLs judge the other fifth (by crc32 of the URL)."""
+    parts = with_parts(pages, rules)
+    statistics = _suffixes(parts, suffix_rows)
+    fold = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    trees = _trees(_labelled(parts).filter(~fold), statistics, sample_rows, rounds, depth)
+    judged = _scored(trees, with_features(_labelled(parts).filter(fold), *statistics))
+    return judged.groupBy("label").agg(F.count("*").alias("rows"), F.sum(((F.col("block_score") > 0.5) == (F.col("label") == 1.0)).cast("long")).alias("right"))
