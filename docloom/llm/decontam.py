@@ -125,9 +125,12 @@ class Benchmark:
         passage, n = self.owner[entry], len(self.passages)
         # a region lies in two neighbouring stretches of the text at most
         cell = (pos[src] // STRETCH) * n + passage
-        count = np.bincount(cell, minlength=(len(whole) // STRETCH + 2) * n) if n else np.zeros(0, np.int64)
-        pair = count[cell] + np.maximum(count[np.minimum(cell + n, len(count) - 1)], np.where(cell >= n, count[cell - n], 0))
-        some = pair >= self.need[passage]
+        own, which, count = np.unique(cell, return_inverse=True, return_counts=True)
+        beside = np.zeros(len(own), np.int64)
+        for next_to in (own - n, own + n):
+            at = np.minimum(np.searchsorted(own, next_to), max(len(own) - 1, 0))
+            beside = np.maximum(beside, np.where(own[at] == next_to, count[at], 0))
+        some = (count + beside)[which] >= self.need[passage]
         passage, entry, src = passage[some], entry[some], src[some]
         diagonal = pos[src] - self.at[entry] + PASSAGE  # not negative
         step = np.maximum(self.k[passage], 1)
