@@ -14,8 +14,9 @@ lists, so only retained pairs leave it; these are confirmed on the full sets.
 Groups. In a first pass every class meets only the smallest class of each of its posting lists;
 what is confirmed is joined into components. After that only lists that still hold more than
 one component are merged, and only pairs of different components. Classes that still have a partner there
-get one bit of each of ``FINE`` minima, which tells 0.74 from 0.8, and a pair leaves the join under the first
-of its common keys alone. First five of sixteen parts of the pairs (those whose ids' four hash bits differ in one bit or none,
+get one bit of each of ``FINE`` minima, which tells 0.76 from 0.8. Long lists are cut into blocks of ``BLOCK``
+classes and every two blocks meet in a task of their own; a pair is kept under the first of its common keys
+alone. First five of sixteen parts of the pairs (those whose ids' four hash bits differ in one bit or none,
 so that all parts stay connected) are confirmed and joined into components, then the pairs that these
 leave. So a list of n near copies costs about n pairs, and no link between components is lost.
 
@@ -43,8 +44,10 @@ from .scratch import released, stored
 
 COORDINATES, LIVE = 32, 14
 COMPARED, MATCHES = 128, 80
-#: Bits of the fine sketch, and how many may differ: 204.8 do on average at 0.8, five deviations below 273.
-FINE, DIFFER = 2048, 273
+#: Bits of the fine sketch, and how many may differ: 410 do on average at 0.8, 4.5 deviations below 496.
+FINE, DIFFER = 4096, 496
+#: Classes of a list that one task compares with each other or with as many others.
+BLOCK = 512
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(97))
 _A = (_rng.integers(0, 2**32, FINE, dtype=np.uint64) | _U(1)).astype(np.uint32)
@@ -70,9 +73,8 @@ def sketch(low: np.ndarray) -> np.ndarray:
 
 
 def fine_bits(low: np.ndarray) -> np.ndarray:
-    """One mixed bit of each minimum -> sets x FINE / 64 signed longs."""
-    one = ((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-    return np.packbits(one, axis=1, bitorder="little").view(np.int64)
+    """One mixed bit of each minimum -> sets x FINE / 8 bytes."""
+    return np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), axis=1)
 
 
 def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -114,7 +116,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def fine_sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, f1, f2, fine array<long> of the rows that have words."""
+    """doc_id, n, f1, f2, fine binary of the rows that have words."""
 
     def run(batches):
         for batch in batches:
@@ -122,11 +124,10 @@ def fine_sketches(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingles(*utf8(part.column(1)), k)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sets = [sets[i] for i in some]
-                bits = fine_bits(minima(sets, FINE))
-                at = np.arange(len(sets) + 1, dtype=np.int32) * bits.shape[1]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some, pa.int64())), *_sums(sets), pa.ListArray.from_arrays(pa.array(at), pa.array(bits.ravel()))], ["doc_id", "n", "f1", "f2", "fine"])
+                fine = [b.tobytes() for b in fine_bits(minima(sets, FINE))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some, pa.int64())), *_sums(sets), pa.array(fine, pa.binary())], ["doc_id", "n", "f1", "f2", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, fine array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, fine binary")
 
 
 _SET = ["id", "n", "f1", "f2"]
@@ -172,6 +173,68 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return links
 
 
+def _meetings(start: np.ndarray, size: int):
+    """Pairs (i, j) of rows i < j of one group, by their distance; ``start``: first row of each row's group."""
+    for d in range(1, size):
+        i = np.flatnonzero(start[d:] == start[:-d])
+        if not len(i):
+            return
+        yield i, i + d
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of sets of different parts that share a list and differ in at most DIFFER fine bits, each under
+    the first of its common keys. rows: id, n, f1, f2, key, part, times (classes of the list), all (hashes of the
+    set's keys), fine."""
+    blocks = F.ceil(F.col("times") / BLOCK).cast("int")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id", "f1"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = own.select(*_SET, "key", F.hash("key").alias("hash"), "part", "all", "fine", "own", F.least("own", "to").alias("low"), F.greatest("own", "to").alias("high"))
+    group = ["key", "low", "high"]
+
+    def pairs(t: pa.Table) -> pa.RecordBatch | None:
+        col = {c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in (*_SET, *group, "own", "part", "hash")}
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), _U).reshape(len(t), -1)
+        lists = t.column("all").to_pylist()
+        every = np.full((len(t), max(map(len, lists))), np.iinfo(np.int64).max)
+        for i, x in enumerate(lists):
+            every[i, : len(x)] = x
+        new = np.ones(len(t), bool)
+        new[1:] = reduce(np.logical_or, [col[c][1:] != col[c][:-1] for c in group])
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        out = []
+        for i, j in _meetings(start, int(np.bincount(start).max())):
+            n, m = col["n"][i], col["n"][j]
+            fits = (col["part"][i] != col["part"][j]) & ((col["low"][i] == col["high"][i]) | (col["own"][i] != col["own"][j])) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+            i, j = i[fits], j[fits]
+            for lo in range(0, len(i), 8192):
+                a, b = i[lo : lo + 8192], j[lo : lo + 8192]
+                near = np.bitwise_count(fine[a] ^ fine[b]).sum(1, dtype=np.int64) <= DIFFER
+                a, b = a[near], b[near]
+                shared = (every[a][:, :, None] == every[b][:, None, :]).any(2)
+                first = np.where(shared, every[a], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == col["hash"][a]
+                out.append(np.stack([a[first], b[first]]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        sides = [pa.StructArray.from_arrays([pa.array(col[c][side]) for c in _SET], _SET) for side in found]
+        return pa.RecordBatch.from_arrays(sides, ["x", "y"])
+
+    def run(batches):
+        held = None  # rows of the last group, which may go on; a group has two blocks at most
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = [t.column(c)[-1].as_py() for c in group]
+            same = reduce(np.logical_and, [t.column(c).combine_chunks().to_numpy(zero_copy_only=False) == v for c, v in zip(group, last, strict=True)]) if len(t) else np.zeros(0, bool)
+            cut = int(len(t) - same.sum())
+            held = t.slice(cut)
+            if cut:
+                yield pairs(t.slice(0, cut))
+        if held is not None and len(held):
+            yield pairs(held)
+
+    side = "struct<id: bigint, n: bigint, f1: bigint, f2: bigint>"
+    return own.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"x {side}, y {side}")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: the smallest doc_id that links of
     Jaccard >= percent/100 reach, and whether the row is that one."""
@@ -194,33 +257,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = _confirmed(first, docs, k, percent)
     labels = components(links)
 
-    def unmet(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of lists that hold more than one component, as part."""
-        part = F.coalesce("component", "x.id").alias("part")
-        placed = rows.withColumn("id", F.col("x.id")).join(labels.hint("merge"), "id", "left").select(*rows.columns, part)
-        mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("times")).filter("lo < hi and times > 2").select("key")
-        return stored(placed.join(mixed.hint("merge"), "key").select(*rows.columns, "part"), "unmet")
-
-    rest = unmet(prefix, labels)
+    part = F.coalesce("component", "x.id").alias("part")
+    placed = stored(prefix.withColumn("id", F.col("x.id")).join(labels.hint("merge"), "id", "left").select("key", "x", "all", part), "placed")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("times")).filter("lo < hi and times > 2").select("key", "times")
+    rest = stored(placed.join(mixed.hint("merge"), "key").select("key", "x", "all", "part", "times"), "unmet")
     other = rest.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("part").alias("other")).hint("merge")
     some_left = rest.join(other, (F.col("key") == F.col("k")) & (F.col("part") != F.col("other")) & alike, "left_semi")
-    some_left = stored(some_left.select(F.col("x.id").alias("id"), "x", "all", "key"), "candidates")
-    fine = stored(fine_sketches(maybe_in(docs.select("doc_id", "text"), some_left.select("id").distinct(), "id", "doc_id"), k), "fine")
-    fine = fine.select(F.col("doc_id").alias("id"), "n", "f1", "f2", F.struct(*(F.col("fine")[i].alias(f"b{i}") for i in range(FINE // 64))).alias("bits")).dropDuplicates(_SET)
-    rows = some_left.select("x", "all", "key", *(F.col(f"x.{c}").alias(c) for c in _SET)).join(fine.hint("merge"), _SET).select("x", "all", "key", "bits")
-    rows, found = stored(rows, "fine-rows"), [links]
-    for more in (True, False):
-        rest_now = unmet(rows, labels)
-        other = rest_now.select("key", F.col("x").alias("y"), F.col("part").alias("other"), F.col("all").alias("all_y"), F.col("bits").alias("bits_y")).hint("merge")
-        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"bits.b{i}").bitwiseXOR(F.col(f"bits_y.b{i}"))) for i in range(FINE // 64)])
+    some_left = stored(some_left.select("x.id", "x.n", "x.f1", "x.f2", "key", "part", "times", "all"), "candidates")
+    links = [links]
+    if not some_left.isEmpty():
+        fine = fine_sketches(maybe_in(docs.select("doc_id", "text"), some_left.select("id").distinct(), "id", "doc_id"), k)
+        fine = stored(fine.withColumnRenamed("doc_id", "id").join(some_left.select(_SET).distinct().hint("merge"), _SET).dropDuplicates(_SET), "fine")
+        met = stored(_compared(some_left.join(fine.hint("merge"), _SET), percent), "pairs")
         spread = F.pmod(F.xxhash64("x.id"), F.lit(16)).bitwiseXOR(F.pmod(F.xxhash64("y.id"), F.lit(16)))
-        asked = (F.col("part") < F.col("other")) & alike & (differ <= DIFFER) & (F.hash("key") == F.array_min(F.array_intersect("all", "all_y")))
-        pairs = rest_now.join(other, "key").filter(asked & (F.bit_count(spread) <= 1) if more else asked).select(*pair)
-        found.append(_confirmed(pairs, docs, k, percent))
-        released(rest_now)
-        if more and not found[-1].isEmpty():
-            labels = components(reduce(DataFrame.unionByName, found))
-    links = reduce(DataFrame.unionByName, found)
+        links.append(_confirmed(met.filter(F.bit_count(spread) <= 1), docs, k, percent))
+        labels = components(reduce(DataFrame.unionByName, links))
+        later = met.filter(F.bit_count(spread) > 1).select("x", "y", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        for c in "ab":
+            named = labels.select(F.col("id").alias(c), F.col("component").alias("part_" + c))
+            later = later.join(named.hint("merge"), c, "left").withColumn("part_" + c, F.coalesce("part_" + c, c))
+        links.append(_confirmed(later.filter("part_a != part_b").select("x", "y"), docs, k, percent))
+        released(fine, met)
+    links = reduce(DataFrame.unionByName, links)
     # a doc_id that is repeated with several sets links their classes
     several = some.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2") for f in (F.min, F.max))).filter("min_f1 < max_f1 or min_f2 < max_f2")
     member = some.join(several.select("doc_id").hint("merge"), "doc_id").join(reps.hint("merge"), key).select("doc_id", "id").distinct()
@@ -230,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     found = made.select("doc_id", *key).join(of_class.hint("merge"), key, "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
     out = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
-    released(classes, prefix, rest, some_left, rows)
+    released(classes, prefix, placed, rest, some_left)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
