@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Checkpoint into spark.checkpoint.dir; without one a folder of this machine serves, which only a
+    local master can share with its executors."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         found = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="docloom-"))
+        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="docloom-"))
     return df.checkpoint()

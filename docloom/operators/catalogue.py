@@ -139,13 +139,14 @@ def stray_recent(docs: DataFrame, links: DataFrame, checks: DataFrame) -> DataFr
 
 
 def version_siblings(docs: DataFrame, steps: DataFrame) -> DataFrame:
-    """doc_id, sibling: documents of the same hash, or of the same task, label and year of a step."""
-    there = docs.filter("not missing")
-    same = there.filter("hash is not null").select("hash", "doc_id")
-    by_hash = same.join(same.withColumnRenamed("doc_id", "sibling"), "hash").select("doc_id", "sibling")
-    keyed = steps.filter("doc_id is not null").select("task_id", "label", "year", "doc_id").distinct()
-    by_step = keyed.join(keyed.withColumnRenamed("doc_id", "sibling"), ["task_id", "label", "year"]).select("doc_id", "sibling")
-    return by_hash.unionByName(by_step).filter("doc_id != sibling").distinct()
+    """doc_id, kind, name, size, representative: documents of the same hash ('hash', named by it), or of the
+    same task, label and year of a step ('step', named task/label/year), where there are several. Siblings of a
+    document are those of its groups; a group of n copies is n rows."""
+    by_hash = docs.filter("not missing and hash is not null").select(F.lit("hash").alias("kind"), F.col("hash").alias("name"), "doc_id")
+    step = F.concat_ws("/", *(F.col(c).cast("string") for c in ("task_id", "label", "year")))
+    own = by_hash.unionByName(steps.filter("doc_id is not null").select(F.lit("step").alias("kind"), step.alias("name"), "doc_id")).distinct()
+    groups = own.groupBy("kind", "name").agg(F.count("*").alias("size"), F.min("doc_id").alias("representative")).filter("size > 1")
+    return own.join(groups.hint("merge"), ["kind", "name"]).select("doc_id", "kind", "name", "size", "representative")
 
 
 def latest_version(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import collapse, stem
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -19,11 +20,24 @@ def trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.select(key, F.explode(F.array_distinct(F.array_compact(cut))).alias("gram")).filter(F.length("gram") == 3)
 
 
+#: Most trigrams of all terms together for which postings are filtered where they are made.
+BROADCAST_GRAMS = 200_000
+
+
 def candidates(postings: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """(term, key) of the rows that hold every trigram of a term; still to be verified by ``contains``."""
+    """(term, key) of the rows that hold a term's rarest trigram; still to be verified by ``contains``.
+
+    Postings are counted and read for the terms' trigrams only: these are broadcast up to BROADCAST_GRAMS
+    of them, so that no other posting is shuffled, and merged by sorting beyond. A term with a trigram that
+    no row holds has no candidates.
+    """
     need = trigrams(terms, "term", "term")
-    n = need.groupBy("term").agg(F.count("*").alias("need"))
-    return postings.join(need, "gram").groupBy("term", key).agg(F.count("*").alias("have")).join(n, "term").filter("have = need").select("term", key)
+    small = need.count() <= BROADCAST_GRAMS
+    side = F.broadcast if small else lambda df: df.hint("merge")
+    held = postings.join(side(need.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("rows"))
+    known = need.join(held.hint("merge"), "gram", "left").groupBy("term").agg(F.min(F.struct("rows", "gram")).alias("rare"), F.count_if(F.col("rows").isNull()).alias("unheld"))
+    rare = cut(known.filter("unheld = 0").select("term", F.col("rare.gram").alias("gram")))
+    return postings.join(side(rare), "gram").select("term", key)
 
 
 def text_rank(chunks: DataFrame, parts: DataFrame, most: int) -> DataFrame:
@@ -38,12 +52,13 @@ def text_rank(chunks: DataFrame, parts: DataFrame, most: int) -> DataFrame:
     size = F.length("text").cast("double")
     own = chunks.select("chunk_id", F.lower("text").alias("low"), size.alias("size"))
     total = F.broadcast(chunks.agg(F.count("*").alias("chunks"), F.avg(size).alias("mean")))  # one row
-    tf = found.join(own, "chunk_id").filter(F.contains("low", "term")).select("term", "chunk_id", "size", F.regexp_count("low", F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)"))).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = found.join(own.hint("merge"), "chunk_id").filter(F.contains("low", "term")).select("term", "chunk_id", "size", F.regexp_count("low", F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)"))).alias("tf"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.ln((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = tf.join(df, "term").crossJoin(total).withColumn("s", part)
-    by = parts.select("query_id", F.lower("part").alias("term")).distinct().join(scored, "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
+    tf = cut(tf)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    scored = tf.join(df.hint("merge"), "term").crossJoin(total).withColumn("s", part)
+    by = parts.select("query_id", F.lower("part").alias("term")).distinct().join(scored.hint("merge"), "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return by.withColumn("rank", rank).filter(F.col("rank") <= most)
 
@@ -115,13 +130,13 @@ def document_frequency(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     matched directly, the others through trigrams."""
     own = terms.select("term", stem(F.col("term")).alias("stem")).distinct()
     long = candidates(trigrams(chunks, "chunk_id", "text"), "chunk_id", own.filter(F.length("stem") >= 3).select(F.lower("stem").alias("term")).distinct())
-    hit = long.withColumnRenamed("term", "low").join(own.withColumn("low", F.lower("stem")), "low").join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+    hit = long.withColumnRenamed("term", "low").join(own.withColumn("low", F.lower("stem")).hint("merge"), "low").join(chunks.select("chunk_id", "doc_id", "text").hint("merge"), "chunk_id")
     found = hit.filter(F.contains("text", "stem")).select("term", "doc_id")
     short = own.filter(F.length("stem") < 3)
     letters = chunks.select("doc_id", F.split("text", "").alias("_c"))
     grams = letters.select("doc_id", F.explode(F.array_distinct(F.array_compact(F.transform("_c", lambda c, i: F.concat(c, F.get("_c", i + 1)))))).alias("stem")).distinct()
-    both = found.unionByName(short.join(grams, "stem").select("term", "doc_id"))
-    return own.select("term").join(both.groupBy("term").agg(F.countDistinct("doc_id").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    both = found.unionByName(short.join(grams.hint("merge"), "stem").select("term", "doc_id"))
+    return own.select("term").join(both.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).hint("merge"), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 def distinctive_terms(terms: DataFrame, frequency: DataFrame, documents: int, share: float = 0.5) -> DataFrame:
@@ -136,7 +151,7 @@ def expand_neighbours(context: DataFrame, chunks: DataFrame, terms: DataFrame) -
     offs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate((0, -1, 1))))
     near = context.select("query_id", "doc_id", "ordinal", "rank", F.explode(offs).alias("o")).select("query_id", "doc_id", (F.col("ordinal") + F.col("o.d")).alias("ordinal"), (F.col("rank") * 3 + F.col("o.i")).alias("pos"), (F.col("o.i") == 0).alias("anchor"))
     words = terms.groupBy("query_id").agg(F.collect_set(stem(F.col("term"))).alias("stems"))
-    hit = near.join(chunks.select("doc_id", "ordinal", "chunk_id", "text"), ["doc_id", "ordinal"]).join(words, "query_id", "left")
+    hit = near.join(chunks.select("doc_id", "ordinal", "chunk_id", "text").hint("merge"), ["doc_id", "ordinal"]).join(words.hint("merge"), "query_id", "left")
     hit = hit.filter(F.col("anchor") | F.coalesce(F.exists("stems", lambda s: F.contains("text", s)), F.lit(False)))
     first = hit.groupBy("query_id", "chunk_id").agg(F.min("pos").alias("pos"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
@@ -155,9 +170,9 @@ def related_documents(fused: DataFrame, most: int = 5) -> DataFrame:
 
 
 def infer_years(question: Column, this_year: int) -> Column:
-    """Years that a question names: 4-digit ones before 년 words, and last, this and next year."""
-    own = F.transform(F.regexp_extract_all(question, F.lit(r"((?:19|20)\d{2})\s*(?:년도|학년도|회계연도|년)"), 1), lambda y: y.cast("int"))
-    said = [("작년|지난해", -1), ("올해|금년", 0), ("내년", 1)]
+    """Years that a question names: 4-digit ones before 년 words, and last, this and next year (fixed values)."""
+    own = F.transform(F.regexp_extract_all(question, F.lit(r"(?<!\d)((?:19|20)\d{2})\s*(?:회계연도|년도|년|학년도)(?!\d)"), 1), lambda y: y.cast("int"))
+    said = [(r"작년|지난\s*해|전년도?", -1), (r"올해|금년|이번\s*해", 0), (r"내년|다음\s*해", 1)]
     rel = F.array_compact(F.array(*(F.when(question.rlike(p), F.lit(this_year + d)) for p, d in said)))
     return F.array_sort(F.array_distinct(F.concat(own, rel)))
 

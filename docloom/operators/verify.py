@@ -23,10 +23,11 @@ def parse_answer(raw: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Canonical numbers: no thousands marks, no trailing zeros after a point, % kept."""
+    """Canonical numbers: no thousands marks, no leading zeros, no trailing ones after a point, % kept."""
     def canonical(n: Column) -> Column:
         bare = F.regexp_replace(n, "[,%]", "")
         short = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(bare, r"\.?0+$", "")).otherwise(bare)
+        short = F.regexp_replace(short, r"^0+(?=\d)", "")
         return F.concat(short, F.when(F.endswith(n, F.lit("%")), "%").otherwise(""))
 
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(" + NUMBER + ")"), 1), canonical))
@@ -41,8 +42,8 @@ def clean_sources(sources: Column, known: Column) -> Column:
 
 
 def polarity_conflict(text: Column, support: Column, word: str = WORD) -> Column:
-    """Parts of the support that say the same (overlap 0.8) all have the opposite negation."""
-    parts = F.filter(F.split(support, r"[.!?\n]+"), lambda p: (F.trim(p) != "") & (overlap_ratio(text, p, word) >= POLARITY_OVERLAP))
+    """A mark after a digit ends no part. Parts of the support that say the same (overlap 0.8) all have the opposite negation."""
+    parts = F.filter(F.split(support, r"(?<!\d)[.!?]\s*|\n+"), lambda p: (F.trim(p) != "") & (overlap_ratio(text, p, word) >= POLARITY_OVERLAP))
     return (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(NEGATION) != text.rlike(NEGATION))
 
 

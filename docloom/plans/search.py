@@ -10,10 +10,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.lineage import cut
 from ..operators import chunking as K
 from ..operators import search as S
+from ..operators import vectors as V
 from ..operators import verify as G
 from .base import query, table
+from .vectors import NORMED, vectors
 
 #: Letters of the given languages beside the default ones.
 WIDE = r"[가-힣A-Za-z0-9À-ÿ][가-힣A-Za-z0-9À-ÿ,.]*"
@@ -42,22 +45,27 @@ def packed_chunks(spark, sf_dir):
     return K.pack(sections(spark, sf_dir)).withColumn("text", F.sha2("text", 256))
 
 
+#: More than any text has lines.
+LINES = 2**31
+
+
 def chunks(spark, sf_dir):
-    own = sections(spark, sf_dir).filter("ordinal < 1000 and length(text) > 0")
-    return own.select((F.col("doc_id") * 1000 + F.col("ordinal")).alias("chunk_id"), "doc_id", "ordinal", "locator", "text")
+    """Lines that aren't empty, named by doc_id * LINES + line number."""
+    own = sections(spark, sf_dir).filter("length(text) > 0")
+    return own.select((F.col("doc_id") * LINES + F.col("ordinal")).alias("chunk_id"), "doc_id", "ordinal", "locator", "text")
 
 
-CHUNKS = """l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), s0 AS (SELECT doc_id, unnest(range(len(ls))) AS ordinal, unnest(ls) AS text FROM l),
-c AS (SELECT doc_id * 1000 + ordinal AS chunk_id, doc_id, ordinal, (ordinal + 1) || '문단' AS locator, text FROM s0 WHERE ordinal < 1000 AND length(text) > 0)"""
+CHUNKS = f"""l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), s0 AS (SELECT doc_id, unnest(range(len(ls))) AS ordinal, unnest(ls) AS text FROM l),
+c AS (SELECT doc_id * {LINES} + ordinal AS chunk_id, doc_id, ordinal, (ordinal + 1) || '문단' AS locator, text FROM s0 WHERE length(text) > 0)"""
 
 
 def parts(spark, sf_dir):
-    """Two longer words of each benchmark item."""
-    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 6), 1, 2)
+    """The words of six letters or more of each benchmark item."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 6))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("part"))
 
 
-PARTS = """w AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)[1:2]) AS part FROM benchmark)"""
+PARTS = """w AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)) AS part FROM benchmark)"""
 RANKED = f"""{CHUNKS}, {PARTS}, tm AS (SELECT DISTINCT part AS term FROM w), f AS (SELECT term, chunk_id, length(text) AS size, len(list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, length(term)) = term)) AS tf FROM tm JOIN c ON contains(lower(text), term)),
 d AS (SELECT term, count(*) AS df FROM f GROUP BY term), n AS (SELECT count(*) AS chunks, avg(length(text)) AS mean FROM c),
 sc AS (SELECT f.term, chunk_id, greatest(1e-6, ln((chunks - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS s FROM f JOIN d ON f.term = d.term, n),
@@ -71,26 +79,30 @@ def text_search(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS}, {PARTS}, q AS (SELECT query_id, list(DISTINCT part) AS ps FROM w GROUP BY query_id)
-SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, documents.doc_id FROM q JOIN documents ON contains(lower(text), ps[1]) AND contains(lower(text), ps[len(ps)]))""")
+SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, documents.doc_id FROM q JOIN (SELECT doc_id, lower(text) AS low FROM documents) documents ON contains(low, ps[1]) AND len(list_filter(ps, lambda p: NOT contains(low, p))) = 0)""")
 def documents_with_all_parts(spark, sf_dir):
     docs, own = table(spark, sf_dir, "documents"), parts(spark, sf_dir).distinct()
     need = own.groupBy("query_id").agg(F.count("*").alias("need"))
     found = S.candidates(S.trigrams(docs, "doc_id", "text"), "doc_id", own.select(F.col("part").alias("term")).distinct())
-    hit = found.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains(F.lower("text"), "term")).select("doc_id", F.col("term").alias("part")).distinct()
-    return own.join(hit, "part").groupBy("query_id", "doc_id").agg(F.count("*").alias("have")).join(need, "query_id").filter("have = need").select("query_id", "doc_id")
+    hit = found.join(docs.select("doc_id", "text").hint("merge"), "doc_id").filter(F.contains(F.lower("text"), "term")).select("doc_id", F.col("term").alias("part")).distinct()
+    return own.join(hit.hint("merge"), "part").groupBy("query_id", "doc_id").agg(F.count("*").alias("have")).join(need.hint("merge"), "query_id").filter("have = need").select("query_id", "doc_id")
 
 
-FUSED = f"""{RANKED}, t AS (SELECT query_id, chunk_id, rank FROM rk WHERE rank <= 40), v AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY (chunk_id * 7919) % 1009, chunk_id) AS rank, ((chunk_id * 7919) % 1009) / 1009.0 AS cosine FROM rk WHERE rank <= 60),
+FUSED = f"""{RANKED}, t AS (SELECT query_id, chunk_id, rank FROM rk WHERE rank <= 40), {NORMED},
+v0 AS (SELECT q.id AS query_id, x.id * {LINES} AS chunk_id, list_dot_product(q.v, x.v) AS cosine FROM x q JOIN benchmark ON q.id = item_id, x),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 12) DESC, chunk_id) AS rank FROM v0),
 vv AS (SELECT * FROM v WHERE rank <= 40), fu AS (SELECT coalesce(vv.query_id, t.query_id) AS query_id, coalesce(vv.chunk_id, t.chunk_id) AS chunk_id, vv.rank AS v, t.rank AS t, coalesce(1.0 / (60 + vv.rank), 0) + coalesce(1.0 / (60 + t.rank), 0) AS score FROM vv FULL JOIN t ON vv.query_id = t.query_id AND vv.chunk_id = t.chunk_id),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, v NULLS LAST, t NULLS LAST, chunk_id) AS rank FROM fu)"""
 
 
 def _two_lists(spark, sf_dir):
-    """A text ranking, and a second one of the same chunks in an order that stands for vectors."""
-    ranked = S.text_rank(chunks(spark, sf_dir), parts(spark, sf_dir), 60)
-    other = (F.col("chunk_id") * 7919) % 1009
-    second = ranked.withColumn("cosine", other / 1009).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(other, "chunk_id"))).filter("rank <= 40")
-    return second.select("query_id", "chunk_id", "rank", "cosine"), ranked.filter("rank <= 40").select("query_id", "chunk_id", "rank")
+    """A vector and a text ranking. The vector of row i of ``embeddings`` is that of document i's first
+    line, and of benchmark item i as a question. Both are stored, since the steps after read them more than once."""
+    own = vectors(spark, sf_dir).select("id", "vector")
+    asked = own.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).hint("merge"), "id").select(F.col("id").alias("query_id"), "vector")
+    near = V.search(own.withColumn("id", F.col("id") * LINES), asked, 40).withColumnRenamed("id", "chunk_id")
+    ranked = S.text_rank(chunks(spark, sf_dir), parts(spark, sf_dir), 40).select("query_id", "chunk_id", "rank")
+    return cut(near.select("query_id", "chunk_id", "rank", "cosine")), cut(ranked)
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, rank, round(score, 9) AS score FROM fr")
@@ -103,9 +115,9 @@ def strong_evidence(spark, sf_dir):
     return S.strong(*_two_lists(spark, sf_dir))
 
 
-@query(f"""WITH {FUSED}, o AS (SELECT query_id, chunk_id // 1000 AS doc_id, min(rank) AS r FROM fr WHERE rank <= 5 GROUP BY ALL) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM o""")
+@query(f"""WITH {FUSED}, o AS (SELECT query_id, chunk_id // {LINES} AS doc_id, min(rank) AS r FROM fr WHERE rank <= 5 GROUP BY ALL) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM o""")
 def related_documents(spark, sf_dir):
-    own = S.fuse(*_two_lists(spark, sf_dir)).withColumn("doc_id", F.expr("chunk_id div 1000"))
+    own = S.fuse(*_two_lists(spark, sf_dir)).withColumn("doc_id", F.expr(f"chunk_id div {LINES}"))
     return S.related_documents(own)
 
 
@@ -122,10 +134,10 @@ e9 AS (SELECT query_id, chunk_id, doc_id, text, filename, row_number() OVER (PAR
 
 def _context(spark, sf_dir):
     v, t = _two_lists(spark, sf_dir)
-    own = S.fuse(v, t).join(S.strong(v, t).withColumn("strong", F.lit(True)), ["query_id", "chunk_id"], "left").join(chunks(spark, sf_dir), "chunk_id")
+    own = S.fuse(v, t).join(S.strong(v, t).withColumn("strong", F.lit(True)), ["query_id", "chunk_id"], "left").join(chunks(spark, sf_dir).hint("merge"), "chunk_id")
     terms = parts(spark, sf_dir).groupBy("query_id").agg(F.collect_set("part").alias("terms"))
     d = F.col("doc_id")
-    own = own.join(terms, "query_id").withColumns({"strong": F.coalesce("strong", F.lit(False)), "representative": d % 5 != 0, "in_task": F.lit(True), "year": 1995 + d % 7, "filename": F.when(d % 4 == 0, "최종.txt").otherwise("a.txt")})
+    own = own.join(terms.hint("merge"), "query_id").withColumns({"strong": F.coalesce("strong", F.lit(False)), "representative": d % 5 != 0, "in_task": F.lit(True), "year": 1995 + d % 7, "filename": F.when(d % 4 == 0, "최종.txt").otherwise("a.txt")})
     return S.select_context(own.withColumn("in_year", F.col("year") == 1998))
 
 
@@ -169,7 +181,7 @@ def answer_overlap(spark, sf_dir):
     return _answers(spark, sf_dir).select("conv_id", "turn", F.round(X.overlap_ratio(F.col("text"), F.col("support"), WIDE), 6).alias("overlap"))
 
 
-NUMBERS = """list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+(?:,[0-9][0-9][0-9])*(?:\\.[0-9]+)?%?'), lambda n: regexp_replace(CASE WHEN contains(n, '.') THEN regexp_replace(regexp_replace(n, '[,%]', '', 'g'), '\\.?0+$', '') ELSE regexp_replace(n, '[,%]', '', 'g') END, '$', CASE WHEN suffix(n, '%') THEN '%' ELSE '' END)))"""
+NUMBERS = """list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+(?:,[0-9][0-9][0-9])*(?:\\.[0-9]+)?%?'), lambda n: regexp_replace(regexp_replace(CASE WHEN contains(n, '.') THEN regexp_replace(regexp_replace(n, '[,%]', '', 'g'), '\\.?0+$', '') ELSE regexp_replace(n, '[,%]', '', 'g') END, '^0+([0-9])', '\\1'), '$', CASE WHEN suffix(n, '%') THEN '%' ELSE '' END)))"""
 
 
 @query(f"""SELECT doc_id, len({NUMBERS.format('text')}) AS n_numbers FROM documents""")

@@ -1,7 +1,7 @@
 """Duplicate, listing, task and reading-list queries.
 
 Documents of ``documents``: hash of the text, path source/lang/doc_id, years by id; every 13th is
-missing. Tasks are sources; links join each document to its source's task, every tenth to none.
+missing. Tasks are sources; links join each document of 120 characters or more to its source's task.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ FILES = f"""f AS (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN sha256(coalesce
 g AS (SELECT hash, count(*) AS n, min(doc_id) AS rep, max(mtime) AS newest FROM f WHERE hash IS NOT NULL AND NOT missing GROUP BY hash),
 reps AS (SELECT f.* FROM f LEFT JOIN g ON f.hash = g.hash WHERE f.hash IS NULL OR f.doc_id = g.rep),
 tasks AS (SELECT DISTINCT task_id, 'task' || task_id AS name, task_id % 10 = 9 AS not_a_task, CASE WHEN task_id % 10 = 8 THEN task_id - 1 END AS merged_into FROM f),
-links AS (SELECT task_id, doc_id, doc_id % 3 = 0 AS is_primary FROM f WHERE doc_id % 10 <> 0 UNION ALL SELECT (task_id + 1) % 20, doc_id, doc_id % 5 = 0 FROM f WHERE doc_id % 6 = 0 AND doc_id % 10 <> 0),
-chunks AS (SELECT doc_id, unnest(range(1, 1 + CAST(least(chars // 1500 + 1, 4) AS BIGINT))) AS ordinal FROM f WHERE parse_status = 'parsed' AND doc_id % 8 <> 0),
+links AS (SELECT task_id, doc_id, doc_id % 3 = 0 AS is_primary FROM f WHERE chars >= 120 UNION ALL SELECT (task_id + 1) % 20, doc_id, doc_id % 5 = 0 FROM f WHERE doc_id % 6 = 0 AND chars >= 120),
+chunks AS (SELECT doc_id, unnest(range(1, 1 + CAST((chars + 1499) // 1500 AS BIGINT))) AS ordinal FROM f WHERE parse_status = 'parsed'),
 ch AS (SELECT doc_id, ordinal, (doc_id + ordinal) % 5 <> 0 AS embedded FROM chunks)"""
 
 
@@ -53,14 +53,15 @@ def tasks(spark, sf_dir):
 
 
 def links(spark, sf_dir):
-    own = files(spark, sf_dir).select("task_id", "doc_id").filter("doc_id % 10 != 0")
+    own = files(spark, sf_dir).filter("chars >= 120").select("task_id", "doc_id")
     more = own.filter("doc_id % 6 = 0").select(((F.col("task_id") + 1) % 20).alias("task_id"), "doc_id", (F.col("doc_id") % 5 == 0).alias("is_primary"))
     return own.withColumn("is_primary", F.col("doc_id") % 3 == 0).unionByName(more)
 
 
 def chunk_states(spark, sf_dir):
-    own = files(spark, sf_dir).filter("parse_status = 'parsed' and doc_id % 8 != 0")
-    n = F.least(F.expr("chars div 1500") + 1, F.lit(4)).cast("int")
+    """A chunk for every 1,500 characters of a parsed document; empty ones have none."""
+    own = files(spark, sf_dir).filter("parse_status = 'parsed' and chars > 0")
+    n = F.expr("(chars + 1499) div 1500").cast("int")
     return own.select("doc_id", F.explode(F.sequence(F.lit(1), n)).alias("ordinal")).withColumn("embedded", (F.col("doc_id") + F.col("ordinal")) % 5 != 0)
 
 
@@ -164,13 +165,11 @@ def stray_recent(spark, sf_dir):
     return C.stray_recent(files(spark, sf_dir), links(spark, sf_dir), checks)
 
 
-@query(f"""WITH {FILES}, s AS (SELECT task_id, doc_id % 40 AS label, year, doc_id FROM f WHERE year IS NOT NULL AND doc_id % 3 = 0),
-h AS (SELECT hash, doc_id FROM f WHERE NOT missing AND hash IS NOT NULL)
-SELECT a.doc_id, b.doc_id AS sibling FROM h a JOIN h b ON a.hash = b.hash AND a.doc_id <> b.doc_id
-UNION SELECT a.doc_id, b.doc_id FROM s a JOIN s b ON a.task_id = b.task_id AND a.label = b.label AND a.year = b.year AND a.doc_id <> b.doc_id""")
+@query(f"""WITH {FILES}, m AS (SELECT 'hash' AS kind, hash AS name, doc_id FROM f WHERE NOT missing AND hash IS NOT NULL UNION SELECT 'step', task_id || '/' || doc_id % 40 || '/' || year, doc_id FROM f WHERE year IS NOT NULL),
+z AS (SELECT kind, name, count(*) AS size, min(doc_id) AS representative FROM m GROUP BY ALL HAVING count(*) > 1) SELECT m.doc_id, m.kind, m.name, size, representative FROM m JOIN z ON m.kind = z.kind AND m.name = z.name""")
 def version_siblings(spark, sf_dir):
     own = files(spark, sf_dir)
-    steps = own.filter("year is not null and doc_id % 3 = 0").select("task_id", (F.col("doc_id") % 40).alias("label"), "year", "doc_id")
+    steps = own.filter("year is not null").select("task_id", (F.col("doc_id") % 40).alias("label"), "year", "doc_id")
     return C.version_siblings(own, steps)
 
 

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.operators import catalogue as C
 from docloom.operators import compare as P
 from docloom.operators import dating as D
+from docloom.operators import edits as E
+from docloom.operators import search as S
 from docloom.operators import timeline as T
 from docloom.operators import vectors as V
 from docloom.operators import verify as G
@@ -137,3 +140,80 @@ def test_nothing_is_missing_after_a_broken_scan(spark):
     before = spark.createDataFrame([("a", 1, 1, False), ("b", 1, 1, False)], "path string, size long, mtime long, missing boolean")
     now = spark.createDataFrame([("a", 1, 1, False)], "path string, size long, mtime long, scan_complete boolean")
     assert {r["path"]: r["change"] for r in I.snapshot_diff(before, now).collect()} == {"a": "unchanged", "b": "unknown"}
+
+
+def test_numbers_are_decimals(spark):
+    rows = [("08월", "8월"), ("1,200.50", "1200.5"), ("0", "00"), ("0.5%", "00.50%")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert all(r["x"] == [] and r["y"] == [] for r in df.select(G.unsupported_numbers(F.col("a"), F.col("b")).alias("x"), G.unsupported_numbers(F.col("b"), F.col("a")).alias("y")).collect())
+    assert spark.createDataFrame([("10과 5%", "1과 5")], "a string, b string").select(G.unsupported_numbers(F.col("a"), F.col("b")).alias("x")).first()["x"] == ["10", "5%"]
+
+
+def test_a_decimal_point_ends_no_sentence(spark):
+    df = spark.createDataFrame([("예산 비율 1.5 수준 유지한다", "예산 비율 1.5 수준 유지하지 않는다", True), ("예산 비율 1.5 수준 유지한다", "예산 비율 1.5 수준 유지한다. 다른 말은 없다", False)], "t string, s string, x boolean")
+    assert all(r["x"] == r["p"] for r in df.withColumn("p", G.polarity_conflict(F.col("t"), F.col("s"))).collect())
+
+
+def test_years_of_questions(spark):
+    said = {"전년도 실적": [2025], "지난 해와 이번 해": [2025, 2026], "다음 해 계획": [2027], "2019년도와 작년": [2019, 2025], "12019년": [], "없음": []}
+    df = spark.createDataFrame([(q,) for q in said], "q string")
+    assert {r["q"]: r["y"] for r in df.select("q", S.infer_years(F.col("q"), 2026).alias("y")).collect()} == said
+
+
+def test_headline_without_anything_to_compare(spark):
+    pairs = spark.createDataFrame([(1, "SAME"), (2, "GONE"), (2, "ADDED")], "task long, change string")
+    tasks = spark.createDataFrame([(1,), (2,), (3,)], "task long")
+    assert {r["task"]: r["headline"] for r in P.comparison_headline(pairs, tasks).collect()} == {1: "same", 2: "2 changes", 3: "nothing to compare"}
+
+
+def test_edits_replay_as_lists_do(spark):
+    random.seed(6)
+    steps, edits, expected = [], [], {}
+    for task in range(12):
+        rows = [f"s{i}" for i in range(random.randint(1, 6))]
+        steps += [(task, 2024, i + 1, x) for i, x in enumerate(rows)]
+        for seq in range(random.randint(0, 6)):
+            op, at = random.choice(["relabel", "delete", "add", "move"]), random.randint(0, len(rows) + 1)
+            label = str(random.randint(1, 7)) if op == "move" else f"n{seq}"
+            edits.append((task, 2024, seq, op, at, label))
+            if op == "add":
+                rows = rows[:at] + [label] + rows[at:]
+            elif 1 <= at <= len(rows):
+                if op == "relabel":
+                    rows = [label if i == at - 1 else x for i, x in enumerate(rows)]
+                elif op == "delete":
+                    rows = rows[: at - 1] + rows[at:]
+                else:
+                    moved, rest = rows[at - 1], rows[: at - 1] + rows[at:]
+                    rows = rest[: int(label) - 1] + [moved] + rest[int(label) - 1 :]
+        expected[task] = rows
+    found = {}
+    out = P.replay_order(spark.createDataFrame(steps, "task long, year int, ordinal int, label string"), spark.createDataFrame(edits, "task long, year int, seq int, op string, at int, label string"))
+    for r in sorted(out.collect(), key=lambda r: (r["task"], r["ordinal"])):
+        found.setdefault(r["task"], []).append(r["label"])
+    assert found == {t: rows for t, rows in expected.items() if rows}
+
+
+def test_siblings_are_rows_of_groups(spark):
+    docs = spark.createDataFrame([(i, "h" if i < 50 else None, False) for i in range(60)], "doc_id long, hash string, missing boolean")
+    steps = spark.createDataFrame([(1, "a", 2024, 3), (1, "a", 2024, 55), (2, "a", 2024, 4)], "task_id long, label string, year int, doc_id long")
+    found = C.version_siblings(docs, steps).collect()
+    assert len(found) == 52
+    assert {(r["kind"], r["size"], r["representative"]) for r in found} == {("hash", 50, 0), ("step", 2, 3)}
+
+
+def test_names_stay_unique(spark):
+    tasks = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "task_id long, name string")
+    asked = spark.createDataFrame([(1, "b"), (2, "x"), (3, "y"), (4, "y")], "task_id long, name string")
+    found = {r["task_id"]: r["name"] for r in E.renamed(tasks, asked).collect()}
+    assert len(set(found.values())) == 4 and found[2] == "x" and found[3] == "c" and found[4] == "d"
+
+
+def test_lines_after_the_thousandth_are_searched(spark, tmp_path):
+    from docloom.plans import search
+
+    text = "\n".join(f"line number {i}" for i in range(1500)) + "\nneedle here"
+    spark.createDataFrame([(7, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = search.chunks(spark, str(tmp_path))
+    found = S.text_rank(own, spark.createDataFrame([(1, "needle")], "query_id long, part string"), 5).collect()
+    assert [(r["chunk_id"] // search.LINES, r["chunk_id"] % search.LINES) for r in found] == [(7, 1500)]
