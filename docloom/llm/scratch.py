@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back; removed by ``released`` or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where, system = _folder(spark, path)
     system.deleteOnExit(where)
     out = spark.read.parquet(path)
@@ -49,8 +50,10 @@ def released(*tables: DataFrame) -> None:
 def swept(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files that no live plan refers to; it acts on garbage that the
     driver's JVM has collected, which a driver with memory to spare may put off until disks are full."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets go of Python's handles, the second of what these held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
