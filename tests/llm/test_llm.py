@@ -487,3 +487,95 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir, documents):
     other = reference_coder(bpe.read_ranks(bpe.vocabulary_path()))
     found = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert found == {i: len(other.encode_ordinary(t)) for i, t in rows.items()}
+
+
+# Cases that all share -----------------------------------------------------------------------
+
+
+def within(passage, text):
+    """Fewest edits between a passage and any part of a text."""
+    best = [0] * (len(text) + 1)
+    for i, a in enumerate(passage, 1):
+        row = [i]
+        for j, b in enumerate(text, 1):
+            row.append(min(best[j - 1] + (a != b), best[j] + 1, row[-1] + 1))
+        best = row
+    return min(best)
+
+
+def test_decontamination_equals_edit_distance():
+    """Each passage within its budget of a text is found, and no other."""
+    random.seed(21)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 8))) for _ in range(60)]
+    items = [" ".join(random.choices(words, k=14)) for _ in range(3)]
+    bench = decontam.Benchmark(list(enumerate(items)))
+    texts = []
+    for n in range(24):
+        t = list(random.choice(items)[random.randint(0, 20) :])
+        for _ in range(n // 2):
+            t[random.randrange(len(t))] = random.choice(["", "z", "qx"])
+        texts.append(" ".join(random.choices(words, k=4)) + " " + "".join(t) + " " + " ".join(random.choices(words, k=4)))
+    found = {(r, p) for r, p, *_ in bench.search(texts)}
+    say = lambda c: "".join(map(chr, c))
+    expected = {(r, p) for r, t in enumerate(texts) for p, (_, c, _) in enumerate(bench.passages) if within(say(c), say(decontam.characters(t))) <= bench.k[p]}
+    assert found == expected
+    assert 20 < len(expected) < 24 * len(bench.passages)
+
+
+def test_trigram_queries_hold_for_every_match():
+    said = lambda p: {frozenset(bytes([c >> 16, c >> 8 & 255, c & 255]).decode() for c in q) for q in secret_scan.trigram_query(p)}
+    assert said("abc+def") == {frozenset(["def"])}
+    assert said("(?:ab|cd)ef[gh]") == {frozenset(x) for x in (["abe", "bef", "efg"], ["abe", "bef", "efh"], ["cde", "def", "efg"], ["cde", "def", "efh"])}
+    assert said("ABC?d") == {frozenset(["abc", "bcd"]), frozenset(["abd"])}
+    assert said("[^a]bcd|(?:xyz){2,}") == {frozenset(["bcd"]), frozenset(["xyz"])}
+    for scans_all in ("(abc)*d", "(?:abc|d)e", "[0-9a-f]{32,}", "a.b.c", ""):
+        assert said(scans_all) == set()
+    assert {r.kind for r in secret_scan.RULES if not r.query()} == {"hex"}
+
+
+def test_long_near_copy_lists_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    random.seed(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for copies in (70, 30):
+        base = random.choices(vocabulary, k=150)
+        for _ in range(copies):
+            own = list(base)
+            for p in random.sample(range(150), random.choice([4, 4, 5, 6])):
+                own[p] = random.choice(vocabulary)
+            texts.append(" ".join(own))
+    texts += texts[:5]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, texts), k=2).collect()}
+    assert found == brute_groups(dict(enumerate(texts)), 2)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["dropped", "id", "key", "component", "part", "n", "hash", "norm", "gone", "score", "_x", "_bucket"]
+    text = "One line that stays here for good\nanother line of some more words\none line that stays here for good"
+    rows = [(i, text if i < 3 else f"quite other words number {i} of a text alone", "en", "s", 1, *([f"v{i}"] * len(names))) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {n} string" for n in names))
+    model = toxicity.train(["a nice day here", "you blockhead there"] * 6, [0, 1] * 6)
+    items = spark.createDataFrame([(1, "a passage of the benchmark that no text above holds at all")], "item_id long, text string")
+    for stage in (line_dedup.drop_lines, minhash.keep_one, lambda d: toxicity.reject_toxic(d, model), lambda d: decontam.decontaminate(d, items)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[n] == f"v{r['doc_id']}" for r in kept for n in names)
+    for query in (line_dedup.decisions, minhash.near_duplicates, secret_scan.scan, bpe.encode_documents, lambda d: toxicity.score_documents(d, model)):
+        assert query(docs).count() == 6
+
+
+def test_url_trees_judge_held_out_labels(spark):
+    rows = url_filter.held_out_accuracy(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    print([(r["label"], r["right"], r["rows"]) for r in rows])
+    assert sum(r["right"] for r in rows) >= 0.9 * sum(r["rows"] for r in rows)
+
+
+def test_url_entropy(spark):
+    from math import log2
+
+    urls = ["aaaa", "abab", "abcd", "", "http://é.x/a?b=1"]
+    for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", url_filter._entropy(F.col("u")).alias("e")).collect():
+        n = len(r["u"])
+        assert abs(r["e"] - -sum(r["u"].count(c) / n * log2(r["u"].count(c) / n) for c in set(r["u"]))) < 1e-9
