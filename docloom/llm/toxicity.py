@@ -253,7 +253,9 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
     maps = np.stack([table_of(_spelled(codes, fs, fl, i)) for i in chosen])
     value, vector = np.linalg.eigh((maps @ maps.T).astype(float))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    z = sums(codes, fs, fl, maps) @ root.astype(np.float32)
+    z = np.empty((len(fs), len(chosen)), np.float32)
+    for lo in range(0, len(fs), 20_000):
+        z[lo : lo + 20_000] = sums(codes, fs[lo : lo + 20_000], fl[lo : lo + 20_000], maps) @ root.astype(np.float32)
     score, negative = worth.copy(), clean > 0
     order = np.argsort(doc, kind="stable")
     word, doc = word[order], doc[order]
