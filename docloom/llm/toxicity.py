@@ -166,13 +166,15 @@ def _svm(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
 
 
 def _facts(row: np.ndarray, value: np.ndarray, rows: int, floor: float) -> np.ndarray:
-    """rows x TOP + 1: of distinct words (their rows and values) the TOP highest of each row, ``floor`` for want of
-    words, and the logarithm of their number."""
+    """rows x TOP + 1: of distinct words (their rows and values) the TOP highest of each row, the highest again where
+    there are fewer, ``floor`` without words, and the logarithm of their number."""
     out = np.full((rows, TOP + 1), floor)
     order = np.lexsort((-value, row))
     row, value = row[order], value[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
     high = rank < TOP
+    top = rank == 0
+    out[row[top], :TOP] = value[top][:, None]
     out[row[high], rank[high]] = value[high]
     out[:, TOP] = np.log1p(np.bincount(row, minlength=rows))
     return out
@@ -279,11 +281,13 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
         w = _svm(z, rows, np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]), weight)
         score = z @ w[:-1].astype(np.float32) + w[-1]
     table = ((root @ w[:-1]) @ maps).astype(np.float32)
-    floor = float(w[-1])
+    floor = float(score[word].min())  # a text without words is as clean as the cleanest word
     facts = _facts(doc, score[word], len(texts), floor)
     if y[unseen].any() and not y[unseen].all():
         facts, y = facts[unseen], y[unseen]
-    return {"table": table, "bias": floor, "weights": _logistic(facts, y.astype(float)), "share": share}
+    # texts much shorter or longer than those seen are judged as the shortest or longest of them
+    span = (float(facts[:, TOP].min()), float(facts[:, TOP].max()))
+    return {"table": table, "bias": float(w[-1]), "floor": floor, "weights": _logistic(facts, y.astype(float)), "span": span, "share": share}
 
 
 def scores(model: dict, column) -> np.ndarray:
@@ -298,7 +302,8 @@ def scores(model: dict, column) -> np.ndarray:
         pair = np.unique(row * len(first) + which)
         row, which = pair // len(first), pair % len(first)
         value = (sums(codes, start[first], length[first], model["table"][None])[:, 0] + model["bias"])[which].astype(float)
-    facts = _facts(row, value, n, model["bias"])
+    facts = _facts(row, value, n, model["floor"])
+    facts[:, TOP] = np.clip(facts[:, TOP], *model["span"])
     return 1 / (1 + np.exp(-np.clip(facts @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
 
 
