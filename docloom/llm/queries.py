@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, line_dedup, minhash, secret_scan, token_counts, toxicity, url_filter
+from . import ann, bpe, chat, collocations, cross_tokens, decontam, line_dedup, minhash, secret_scan, token_counts, token_files, toxicity, url_filter
 from .scratch import table
 
 
@@ -51,5 +51,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_trap(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_url_filter, op3_token_counts, op4_secret_scan, op5_toxicity, op6_byte_bpe, op7_decontamination, op8_line_dedup, op9_nearest_neighbours, op10_chat_format)}
-ORACLES = {"op10_chat_format": chat.ORACLE_SQL}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = token_files.write(docs, token_files.scratch_folder(spark))
+    return files.read(docs.select("doc_id"), ids=False)
+
+
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.cross_alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_url_filter, op3_token_counts, op4_secret_scan, op5_toxicity, op6_byte_bpe, op7_decontamination, op8_line_dedup, op9_nearest_neighbours, op10_chat_format, op11_token_files, op12_cross_alignment, op13_collocations)}
+ORACLES = {"op10_chat_format": chat.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
