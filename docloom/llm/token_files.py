@@ -24,7 +24,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +41,14 @@ END = 1
 SHARD_BYTES, SHARD_DOCUMENTS = 64 << 20, 1 << 20
 #: Runs of keys in one bucket of the index, on average.
 BUCKET_KEYS = 1 << 18
-#: Distinct words that a worker remembers, and the longest one in characters.
-REMEMBERED, LONGEST = 400_000, 64
+#: Distinct pre-tokens that a worker remembers, and the longest one in characters.
+REMEMBERED, LONGEST = 1_000_000, 64
 #: Texts of characters that normalisation keeps and that lower-case one by one, so that pre-tokens can be cut here.
 _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e\\xa0\\xa1\\xab\\xbb\\xbf-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u20ac]*").fullmatch
 # The pre-tokens of the vocabulary's own pattern, for such texts.
-_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+").findall
+_PRETOKENS = re.compile(r"[a-zß-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ſ]+").findall
 #: Words between ASCII white space, past which the tokenizer never looks.
-_WORDS, _SPACES = re.compile(r"[^ \t-\r]+").findall, re.compile(r"[\t-\r]").search
+_WORDS = re.compile(r"[^ \t-\r]+").findall
 _MAGIC = b"DLTOKEN1"
 _SLOT = np.dtype([("mark", "<u4"), ("more", "<u4"), ("docs", "<u8"), ("shard", "<u8"), ("first", "<u8"), ("offset", "<u8"), ("tokens", "<u8")])
 _U = np.uint64
@@ -74,8 +73,8 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _alone(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
@@ -87,29 +86,32 @@ class WordEncoder:
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 raw, bounds = ids.tobytes(), (ends * self.kind.itemsize).tolist()
-                self.parts.update((w, raw[a:b]) for w, a, b in zip(part, [0, *bounds], bounds, strict=False))
+                self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *bounds], bounds, strict=False))
             else:
-                self.parts.update((w, self._alone(w)) for w in part)
-
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ") if text.isascii() and not _SPACES(text) else _WORDS(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            if len(self.parts) > REMEMBERED:
-                self.parts.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            plain = [w for w in new if _PLAIN(w) and "<|" not in w]
-            cut = [_PRETOKENS(w.lower()) for w in plain]
-            self._learn([p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.parts])
-            self.known.update((w, b"".join(map(self.parts.__getitem__, c))) for w, c in zip(plain, cut, strict=True))
-            self.known.update((w, self._alone(w)) for w in new if w not in self.known)
-            out = b"".join(map(self.known.__getitem__, words))
-            for long in [w for w in new if len(w) > LONGEST]:
-                del self.known[long]
-            return out
+                self.known.update((w, self._alone(w)) for w in part)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as integers of ``kind``."""
+        cut = [_PRETOKENS(t.lower()) if _PLAIN(t) and "<|" not in t else None for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = set().union(*(c for c in cut if c is not None)).difference(self.known)
+        self._learn(list(new))
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, c)) if c is not None else self._by_words(t) for t, c in zip(texts, cut, strict=True)]
+        for long in [w for w in new if len(w) > LONGEST]:
+            del self.known[long]
+        return out
+
+    def _by_words(self, text: str) -> bytes:
+        if len(self.words) > REMEMBERED // 4:
+            self.words.clear()
+        out = []
+        for w in _WORDS(text):
+            if w not in self.words:
+                self.words[w] = self._alone(w)
+            out.append(self.words[w])
+        return b"".join(out)
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -315,10 +317,10 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", path: str | None =
         count = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for k, ids in zip(part.column(0).to_pylist(), own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     if shard is None:
                         shard, count = _Shard(folder, base + count, own.kind.itemsize), count + 1
-                    shard.add(k, own.encode(text or "") + last)
+                    shard.add(k, ids + last)
                     if shard.size >= shard_bytes or len(shard.lengths) >= SHARD_DOCUMENTS:
                         yield table(shard, shard.close())
                         shard = None
