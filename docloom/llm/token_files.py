@@ -44,7 +44,7 @@ BUCKET_KEYS = 1 << 18
 #: Distinct pre-tokens that a worker remembers, and the longest one in characters.
 REMEMBERED, LONGEST = 1_000_000, 64
 #: Texts of characters that normalisation keeps and that lower-case one by one, so that pre-tokens can be cut here.
-_PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e\\xa0\\xa1\\xab\\xbb\\xbf-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u20ac]*").fullmatch
+_PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e\\xa0\\xa1\\xab\\xbb\\xbf-\\u012f\\u0131-\\u017f\\u2010-\\u2027\\u20ac]*").fullmatch
 # The pre-tokens of the vocabulary's own pattern, for such texts.
 _PRETOKENS = re.compile(r"[a-zß-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ſ]+").findall
 #: Words between ASCII white space, past which the tokenizer never looks.
