@@ -9,8 +9,9 @@ on demand. A phrase is dropped if a longer candidate holds it that is as frequen
 have the same word before them, or the same word after them, which counting notes.
 
 Counting is a scan: tasks hash words and word runs of their slices, keep those that a bit map of a fixed size
-lets through, and add up; Spark adds up by language and phrase. Bit maps let some phrases through that they
-need not; counts decide. Within a slice, and for neighbours, words are told apart by 64 bits of hash.
+lets through, and add up; Spark adds up by language and phrase. Words and pairs, of which most are rare, are
+counted by hash alone first, and spelled out where that count suffices. Bit maps and hashes let some phrases
+through that they need not; counts of phrases decide. Within a slice, and for neighbours, words are told apart by 64 bits of hash.
 
 Cases: null texts are empty; a null language is ``und``; texts without words count nothing; repeated rows count each time; ties in
 score go by frequency, then by phrase; an empty table gives no rows; very long texts are slices of
@@ -33,6 +34,8 @@ from .bytetext import LOWER, mix, slices, utf8, word_hashes
 from .scratch import released, stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
+#: Bytes of text that a step of a scan works on.
+STEP = 1 << 20
 #: First words of a language that one round expands, more where frequencies tie.
 FRONTIER = 1 << 16
 #: Bits of a map of hashes: 8 MB, whatever it holds.
@@ -81,15 +84,16 @@ def bit_map(df: DataFrame) -> np.ndarray:
 COUNTED = "lang string, phrase string, h long, n long, l0 long, l1 long, r0 long, r1 long"
 
 
-def count(docs: DataFrame, lengths: tuple[int, ...], often: Broadcast | None = None, live: Broadcast | None = None, wanted: Broadcast | None = None, whole: bool = False) -> DataFrame:
+def count(docs: DataFrame, lengths: tuple[int, ...], often: Broadcast | None = None, live: Broadcast | None = None, wanted: Broadcast | None = None, whole: bool = False, hashed: bool = False) -> DataFrame:
     """lang, phrase, h (its hash), n and the least and greatest hash of the words before and after it (0 at the
     edge of a piece), for runs of ``lengths`` words: all of them, those of ``wanted``, or those whose words but the
-    last are in ``live`` (if ``whole``, also those but the first) and whose last is in ``often``."""
+    last are in ``live`` (if ``whole``, also those but the first) and whose last is in ``often``. With single words
+    come rows without a phrase that count all words of a language. ``hashed`` gives h and n alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = {k: b.value for k, b in (("often", often), ("live", live), ("wanted", wanted)) if b is not None}
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", STEP):
                 raw, off = utf8(part.column(1))
                 start, end, row, piece = cut(raw, off)
                 langs = ["und" if x is None else x for x in part.column(0).to_pylist()]
@@ -102,6 +106,12 @@ def count(docs: DataFrame, lengths: tuple[int, ...], often: Broadcast | None = N
                 for k in lengths:
                     if len(runs[k]):
                         yield from table(k, runs, seed, piece, raw, start, end, row, langs, maps)
+                if not hashed and 1 in lengths and len(words):
+                    names = sorted(seeds)
+                    at = {x: i for i, x in enumerate(names)}
+                    total = np.bincount(np.array([at[x] for x in langs])[row], minlength=len(names))
+                    none = pa.array(np.zeros(len(names), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.string()), none, pa.array(total), *[none] * 4], ["lang", "phrase", "h", "n", "l0", "l1", "r0", "r1"])
 
     def table(k, runs, seed, piece, raw, start, end, row, langs, maps) -> Iterator[pa.RecordBatch]:
         words, n = runs[1], len(runs[k])
@@ -117,6 +127,10 @@ def count(docs: DataFrame, lengths: tuple[int, ...], often: Broadcast | None = N
         if not len(at):
             return
         key = mix(runs[k][at] + seed[at])
+        if hashed:
+            own, times = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times)], ["h", "n"])
+            return
         order = np.argsort(key, kind="stable")
         at, key = at[order], key[order]
         fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -134,6 +148,8 @@ def count(docs: DataFrame, lengths: tuple[int, ...], often: Broadcast | None = N
             phrases = [b" ".join([low[s[j] : e[j]] for j in range(i, i + k)]).decode() for i in first.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([langs[r] for r in row[first].tolist()]), pa.array(phrases), pa.array(key[fresh].view(np.int64)), pa.array(np.diff(np.append(fresh, len(at)))), *map(pa.array, ends)], ["lang", "phrase", "h", "n", "l0", "l1", "r0", "r1"])
 
+    if hashed:
+        return docs.select("lang", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = docs.select("lang", "text").mapInArrow(run, COUNTED)
     return found.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("n").alias("n"), F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.min("r0").alias("r0"), F.max("r1").alias("r1"))
 
@@ -168,16 +184,19 @@ def first_of_each(found: DataFrame, top: int) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, frontier: int = FRONTIER) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score. The driver keeps a few numbers for each language and step of frequency."""
     spark = docs.sparkSession
-    words = stored(count(docs, (1,)), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = stored(totals, "totals")
+
+    def shared(df: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(bit_map(df))
+
+    words = stored(count(docs, (1,), wanted=shared(count(docs, (1,), hashed=True).filter(F.col("n") >= least))), "words")
+    totals = stored(words.filter("phrase is null").select("lang", F.col("n").alias("total")), "totals")
     total = {r["lang"]: r["total"] for r in totals.collect()}
-    often = words.filter(F.col("n") >= least).withColumn("step", F.floor(F.log2(F.col("n") / least) * 8).cast("int"))
+    often = words.filter(F.col("phrase").isNotNull() & (F.col("n") >= least)).withColumn("step", F.floor(F.log2(F.col("n") / least) * 8).cast("int"))
     # steps of frequency, 8 to a doubling: at most some hundreds a language
     steps: dict[str, list] = {x: [] for x in total}
     for r in often.groupBy("lang", "step").agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy("lang", "step").collect():
         steps[r["lang"]].append((r["step"], r["words"], r["least"]))
-    is_often = spark.sparkContext.broadcast(bit_map(often))
+    is_often = shared(often)
     done = {x: -1 for x in total}
     open_ = {x for x in total if steps[x]}
     known, tops, spent = [often.select("lang", "phrase", "n")], [], [words, totals]
@@ -196,9 +215,13 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         grown = often.join(ranges, "lang").filter((F.col("step") > F.col("above")) & (F.col("step") <= F.col("upto")))
         grams = []
         for k in range(2, longest + 1):
-            live = spark.sparkContext.broadcast(bit_map(grown))
-            grown = stored(count(docs, (k,), often=is_often, live=live, whole=whole).filter(F.col("n") >= least), "grams")
-            live.unpersist()
+            live = shared(grown)
+            if k == 2:
+                pairs = shared(count(docs, (k,), often=is_often, live=live, hashed=True).filter(F.col("n") >= least))
+                grown = count(docs, (k,), wanted=pairs)
+            else:
+                grown = count(docs, (k,), often=is_often, live=live, whole=whole)
+            grown = stored(grown.filter(F.col("n") >= least), "grams")
             grams.append(grown.withColumn("k", F.lit(k)))
             if not grown.limit(1).count():
                 break
@@ -215,9 +238,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
             rests = stored(rests.mapInArrow(_hashed, "lang string, phrase string, h long"), "rests")
             spent.append(rests)
             if rests.limit(1).count():
-                wanted = spark.sparkContext.broadcast(bit_map(rests))
-                parts = stored(count(docs, tuple(range(2, longest)), wanted=wanted).join(rests.select("lang", "phrase").hint("merge"), ["lang", "phrase"], "left_semi"), "parts")
-                wanted.unpersist()
+                parts = stored(count(docs, tuple(range(2, longest)), wanted=shared(rests)).join(rests.select("lang", "phrase").hint("merge"), ["lang", "phrase"], "left_semi"), "parts")
                 spent.append(parts)
                 known.append(parts.select("lang", "phrase", "n"))
                 have = have.unionByName(known[-1])
@@ -231,7 +252,6 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         left = {x: [least_ for step, _, least_ in steps[x] if step > done[x]] for x in open_}
         open_ = {x for x in open_ if left[x] and (x not in last or last[x] <= 1000 * total[x] // left[x][0])}
     out = tops[-1].select("lang", "rank", "phrase", "a", "l", "r", "n", "score") if tops else spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
-    is_often.unpersist()
     for df in spent + tops[:-1]:
         if hasattr(df, "_scratch"):
             released(df)
