@@ -9,17 +9,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.ranks import ranked
+
+
+def replayed(held: DataFrame, edits: DataFrame) -> DataFrame:
+    """id, name, edited: unique names (id, name) after edits (seq, id, op, name), as if replayed one by one.
+
+    ``change`` of an id that is there, or ``add``, takes the name unless another id holds it then; ``remove`` frees
+    it. Edits of one seq go in the order remove, change, add, then by id and name. Whether an edit is refused
+    depends on earlier ones alone, so guesses are put right from the front: each round derives who holds a name when
+    from the last guess, and ends when nothing changes, after as many rounds as the longest chain of edits that wait
+    for each other. Long lists of edits of one id or of one name are split by ranges.
+    """
+    order = ["seq", "turn", "id", "name"]
+    turn = F.when(F.col("op") == "remove", 0).when(F.col("op") == "change", 1).otherwise(2)
+    asked = edits.select("seq", F.col("id").cast("long").alias("id"), "op", "name").filter("id is not null and (op = 'remove' or name is not null)").withColumn("turn", turn).distinct()
+    start = held.select(F.col("id").cast("long").alias("id"), "name").withColumns({"seq": F.lit(None).cast(asked.schema["seq"].dataType), "turn": F.lit(-1), "op": F.lit("start")})
+    state = cut(start.unionByName(asked).withColumn("good", F.lit(True)))
+    by = [F.asc_nulls_first("seq"), *map(F.col, order[1:])]
+    while True:
+        kept = F.when(F.col("good"), F.struct(F.when(F.col("op") != "remove", F.col("name")).alias("n")))
+        lines = cut(ranked(state, ["id"], by, "_n", {"_was": kept}).withColumn("was", F.col("_was.n")).drop("_n", "_was"))
+        takes = lines.filter("good and op != 'remove'").select(F.col("name").alias("on"), *order, F.lit(1).alias("d"))
+        frees = lines.filter("good and was is not null and op != 'start'").select(F.col("was").alias("on"), *order, F.lit(-1).alias("d"))
+        asks = lines.filter("op in ('change', 'add')").select(F.col("name").alias("on"), *order, F.lit(0).alias("d"), "op", "was", "good")
+        events = takes.unionByName(frees).unionByName(asks, allowMissingColumns=True)
+        # an edit sees what came before it; its own events come after its question
+        seen = ranked(events, ["on"], [*by, F.asc(F.col("d") != 0), F.col("d")], "_n", sums={"holders": F.col("d")}).filter("d = 0")
+        free = F.col("holders") - F.when(F.col("was") == F.col("on"), 1).otherwise(0) <= 0
+        decided = cut(seen.select("seq", "turn", "id", F.col("on").alias("name"), "op", (free & ((F.col("op") == "add") | F.col("was").isNotNull())).alias("good"), F.col("good").alias("guess")))
+        state = state.filter("op in ('start', 'remove')").unionByName(decided.drop("guess"))
+        if not decided.filter("good != guess").limit(1).count():
+            break
+        state = cut(state)
+    kept = F.when(F.col("good"), F.struct("seq", "turn", F.col("name").alias("n")))
+    last = state.withColumn("name", F.when(F.col("op") != "remove", F.col("name"))).groupBy("id").agg(F.max(kept).alias("x"))
+    return last.filter("x.n is not null").select("id", F.col("x.n").alias("name"), (F.col("x.turn") >= 0).alias("edited"))
+
 
 def renamed(tasks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Tasks under the names of edits (task_id, name); a name that another task has, or that two edits
-    ask for, is refused and the old one stays."""
-    asked = edits.select("task_id", F.trim("name").alias("asked")).filter("asked != ''")
-    taken = tasks.select("task_id", "name").join(asked.select("task_id"), "task_id", "left_anti").select(F.col("name").alias("asked")).unionByName(asked.groupBy("asked").agg(F.count("*").alias("n")).filter("n > 1").select("asked"))
-    free = asked.join(taken.distinct(), "asked", "left_anti")
-    # an old name that its owner keeps after a refusal is taken too
-    kept = tasks.join(free.select("task_id"), "task_id", "left_anti").select(F.col("name").alias("asked"))
-    free = free.join(kept.distinct(), "asked", "left_anti")
-    return tasks.join(free, "task_id", "left").withColumn("name", F.coalesce("asked", "name")).select(tasks.columns)
+    """Tasks under the names of edits (task_id, name, and seq if they have an order); blank names are left out.
+
+    In order, a rename is refused while another task has the name. Without an order the edits stand or fall together: a
+    name that two of them ask for, or that a task has which keeps it, is refused, and a refusal blocks those behind
+    it. ``status``, ``origin`` and ``review_state`` of renamed tasks, where tasks have them, say that a user did it.
+    """
+    asked = edits.select("task_id", F.trim("name").alias("asked"), *(["seq"] if "seq" in edits.columns else [])).filter("asked != ''")
+    if "seq" in edits.columns:
+        own = replayed(tasks.select(F.col("task_id").alias("id"), "name"), asked.select("seq", F.col("task_id").alias("id"), F.lit("change").alias("op"), F.col("asked").alias("name")))
+        free = own.filter("edited").select(F.col("id").alias("task_id"), F.col("name").alias("asked"))
+    else:
+        twice = asked.groupBy("asked").agg(F.count("*").alias("n")).filter("n > 1").select("asked")
+        free = cut(asked.join(twice, "asked", "left_anti"))
+        while True:
+            held = tasks.join(free.select("task_id"), "task_id", "left_anti").select(F.col("name").alias("asked")).distinct()
+            less = cut(free.join(held, "asked", "left_anti"))
+            if less.count() == free.count():
+                break
+            free = less
+    said = {"name": F.coalesce("asked", "name")} | {c: F.when(F.col("asked").isNotNull(), v).otherwise(F.col(c)) for c, v in (("status", "edited"), ("origin", "user"), ("review_state", "confirmed")) if c in tasks.columns}
+    return tasks.join(free.select("task_id", "asked"), "task_id", "left").withColumns(said).select(tasks.columns)
 
 
 def hidden(tasks: DataFrame, edits: DataFrame) -> DataFrame:
@@ -40,13 +90,14 @@ def split(tasks: DataFrame, links: DataFrame, edits: DataFrame) -> tuple[DataFra
 
 def reassigned(links: DataFrame, edits: DataFrame) -> DataFrame:
     """Links after edits (seq, op, task_id, doc_id): assign, detach and primary; the last edit of a link holds, and a
-    task has one primary document, that of its last edit."""
+    task has one primary document, that of its last edit. Links without an edit keep their ``origin``, if they have one."""
     last = edits.groupBy("task_id", "doc_id").agg(F.max_by("op", "seq").alias("op"))
+    links = links if "origin" in links.columns else links.withColumn("origin", F.lit("machine"))
     own = links.join(last, ["task_id", "doc_id"], "full_outer").filter("op is null or op != 'detach'")
     chosen = edits.filter("op = 'primary'").join(last.filter("op = 'primary'").select("task_id", "doc_id"), ["task_id", "doc_id"], "left_semi")
     chosen = chosen.groupBy("task_id").agg(F.max_by("doc_id", "seq").alias("chosen"))
     primary = F.when(F.col("chosen").isNotNull(), F.col("doc_id") == F.col("chosen")).otherwise(F.coalesce("is_primary", F.lit(False)))
-    return own.join(chosen, "task_id", "left").select("task_id", "doc_id", primary.alias("is_primary"), F.when(F.col("op").isNotNull(), "user").otherwise("machine").alias("origin"))
+    return own.join(chosen, "task_id", "left").select("task_id", "doc_id", primary.alias("is_primary"), F.when(F.col("op").isNotNull(), "user").otherwise(F.coalesce("origin", F.lit("machine"))).alias("origin"))
 
 
 def dated(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -64,14 +115,10 @@ def rated(questions: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def sources_after(sources: DataFrame, edits: DataFrame) -> DataFrame:
-    """source_id, path after edits (seq, op, source_id, path): add, change and remove; the last edit of a source
-    holds, and a path that a smaller source_id has by then is refused (an added source is left out, a changed one
-    keeps its path)."""
-    last = edits.groupBy("source_id").agg(F.max_by(F.struct("op", F.col("path").alias("asked")), "seq").alias("e")).select("source_id", "e.op", "e.asked")
-    own = sources.join(last, "source_id", "full_outer").filter("op is null or op != 'remove'").withColumn("want", F.coalesce("asked", "path"))
-    first = own.groupBy("want").agg(F.min(F.struct(F.col("op").isNotNull().alias("edited"), "source_id")).alias("f")).select("want", F.col("f.source_id").alias("owner"))
-    held = own.join(first, "want").withColumn("path", F.when(F.col("owner") == F.col("source_id"), F.col("want")).otherwise(F.col("path")))
-    return held.filter("path is not null").select("source_id", "path")
+    """source_id, path after edits (seq, op, source_id, path), replayed in order: an added source whose path is taken is
+    left out, a changed one whose new path is taken keeps its own, a removed one frees its path for later edits."""
+    own = replayed(sources.select(F.col("source_id").alias("id"), F.col("path").alias("name")), edits.select("seq", F.col("source_id").alias("id"), "op", F.col("path").alias("name")))
+    return own.select(F.col("id").alias("source_id"), F.col("name").alias("path"))
 
 
 def without_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:

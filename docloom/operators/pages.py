@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.text import clip, collapse
 from .catalogue import top_per_group, with_copies
 
@@ -21,8 +22,7 @@ def live(tasks: DataFrame) -> DataFrame:
 def task_documents(links: DataFrame, docs: DataFrame) -> DataFrame:
     """task_id, rank, doc_id, filename, date: the documents of each task, newest first, undated ones last."""
     own = links.select("task_id", "doc_id").join(docs.select("doc_id", "filename", "date"), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc_nulls_last("date"), "filename", "doc_id"))
-    return own.withColumn("rank", rank).select("task_id", "rank", "doc_id", "filename", "date")
+    return ranked(own, ["task_id"], [F.desc_nulls_last("date"), F.col("filename"), F.col("doc_id")]).select("task_id", "rank", "doc_id", "filename", "date")
 
 
 def task_reading(reading: DataFrame, docs: DataFrame) -> DataFrame:
@@ -129,15 +129,18 @@ def support_texts(cited: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def cited_sections(cited: DataFrame, sections: DataFrame) -> DataFrame:
-    """query_id, doc_id, ordinal, how: the section of each citation (query_id, doc_id, locator, snippet): the
-    one of that locator, else the one whose number its 'n문단' names, else the first that holds the first
-    40 characters of the snippet."""
-    both = cited.join(sections.select("doc_id", "ordinal", F.col("locator").alias("of"), "text").hint("merge"), "doc_id")
-    number = F.try_to_number(F.regexp_extract("locator", r"^(\d{1,9})문단", 1), F.lit("999999999")).cast("long")
-    start = F.substring(collapse(F.col("snippet")), 1, 40)
-    how = F.when(F.col("of") == F.col("locator"), 1).when(F.col("ordinal") + 1 == number, 2).when((start != "") & F.contains(collapse(F.col("text")), start), 3)
-    best = both.withColumn("how", how).filter("how is not null").groupBy("query_id", "doc_id").agg(F.min(F.struct("how", "ordinal")).alias("b"))
-    return best.select("query_id", "doc_id", "b.ordinal", "b.how")
+    """query_id, pos, doc_id, ordinal, how: the sections that each citation (query_id, pos, doc_id, locator, snippet)
+    marks: all of that locator (1), else the one whose ordinal the 'n문단' anywhere in the locator names (2), else
+    the first that holds the first 40 characters of the snippet, if these are 8 or more (3)."""
+    start = F.substring(collapse(F.coalesce("snippet", F.lit(""))), 1, 40)
+    number = F.try_to_number(F.regexp_extract("locator", r"(\d{1,9})\s*문단", 1), F.lit("999999999")).cast("long")
+    own = cited.select("query_id", "pos", "doc_id", "locator", number.alias("number"), F.when(F.length(start) >= 8, start).alias("start"))
+    both = own.join(sections.select("doc_id", "ordinal", F.col("locator").alias("of"), "text").hint("merge"), "doc_id")
+    how = F.when((F.col("of") == F.col("locator")) & (F.col("locator") != ""), 1).when(F.col("ordinal") == F.col("number"), 2).when(F.contains(collapse(F.col("text")), "start"), 3)
+    hit = both.withColumn("how", how).filter("how is not null").select("query_id", "pos", "doc_id", "ordinal", "how")
+    # the surest way alone counts; in the third only the first section
+    best = hit.groupBy("query_id", "pos").agg(F.min("how").alias("best"), F.min_by("ordinal", F.struct("how", "ordinal")).alias("first"))
+    return hit.join(best, ["query_id", "pos"]).filter((F.col("how") == F.col("best")) & ((F.col("how") == 1) | (F.col("ordinal") == F.col("first")))).select("query_id", "pos", "doc_id", "ordinal", "how")
 
 
 def majority_task(cited: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import gram_counts, grams, mapped
 from ..functions.lineage import cut
 from ..functions.text import collapse, stem
 
@@ -13,42 +14,30 @@ FUSION_K = 60
 STRONG_COSINE, STRONG_TEXT_RANK, EXPLORED, PER_DOC, CONTEXT = 0.40, 8, 16, 2, 8
 
 
-def trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram): distinct lower-cased trigrams; the postings table of a text column."""
-    own = df.filter(F.length(text) >= 3).select(key, F.split(F.lower(text), "").alias("_c"))
-    cut = F.transform("_c", lambda c, i: F.concat(c, F.get("_c", i + 1), F.get("_c", i + 2)))
-    return own.select(key, F.explode(F.array_distinct(F.array_compact(cut))).alias("gram")).filter(F.length("gram") == 3)
+def candidates(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(term, key) of the rows whose ``text`` holds a term's rarest trigram; still to be verified by ``contains``.
 
-
-#: Most trigrams of all terms together for which postings are filtered where they are made.
-BROADCAST_GRAMS = 200_000
-
-
-def candidates(postings: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """(term, key) of the rows that hold a term's rarest trigram; still to be verified by ``contains``.
-
-    Postings are counted and read for the terms' trigrams only: these are broadcast up to BROADCAST_GRAMS
-    of them, so that no other posting is shuffled, and merged by sorting beyond. A term with a trigram that
-    no row holds has no candidates.
+    Two scans: one counts the terms' trigrams (a map of a fixed size lets them through), one lists the rows of
+    each term's rarest. Only these reach a shuffle. A term with a trigram that no row holds has no candidates.
     """
-    need = trigrams(terms, "term", "term")
-    small = need.count() <= BROADCAST_GRAMS
-    side = F.broadcast if small else lambda df: df.hint("merge")
-    held = postings.join(side(need.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("rows"))
+    spark = texts.sparkSession
+    need = cut(grams(terms.withColumn("_t", F.col("term")), "_t", "term").withColumnRenamed("_t", "term"))
+    wanted = spark.sparkContext.broadcast(mapped(need))
+    held = gram_counts(texts, text, wanted)
     known = need.join(held.hint("merge"), "gram", "left").groupBy("term").agg(F.min(F.struct("rows", "gram")).alias("rare"), F.count_if(F.col("rows").isNull()).alias("unheld"))
     rare = cut(known.filter("unheld = 0").select("term", F.col("rare.gram").alias("gram")))
-    return postings.join(side(rare), "gram").select("term", key)
+    return grams(texts, key, text, spark.sparkContext.broadcast(mapped(rare))).join(rare.hint("shuffle_hash"), "gram").select("term", key)
 
 
 def text_rank(chunks: DataFrame, parts: DataFrame, most: int) -> DataFrame:
     """query_id, chunk_id, score, rank: BM25 of chunks (chunk_id, text) that hold any part (query_id,
     part) as a case-insensitive substring; rank by score, then id.
 
-    Trigram postings find the candidates, so queries do not meet chunks that share nothing with
+    Rarest trigrams find the candidates, so queries do not meet chunks that share nothing with
     them; term frequency counts overlapping places, length is in characters.
     """
     terms = parts.select(F.lower("part").alias("term")).filter(F.length("part") >= 3).distinct()
-    found = candidates(trigrams(chunks, "chunk_id", "text"), "chunk_id", terms)
+    found = candidates(chunks, "chunk_id", "text", terms)
     size = F.length("text").cast("double")
     own = chunks.select("chunk_id", F.lower("text").alias("low"), size.alias("size"))
     total = F.broadcast(chunks.agg(F.count("*").alias("chunks"), F.avg(size).alias("mean")))  # one row
@@ -129,7 +118,7 @@ def document_frequency(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """term, df: documents with a chunk that contains the term's stem; terms of two letters or less are
     matched directly, the others through trigrams."""
     own = terms.select("term", stem(F.col("term")).alias("stem")).distinct()
-    long = candidates(trigrams(chunks, "chunk_id", "text"), "chunk_id", own.filter(F.length("stem") >= 3).select(F.lower("stem").alias("term")).distinct())
+    long = candidates(chunks, "chunk_id", "text", own.filter(F.length("stem") >= 3).select(F.lower("stem").alias("term")).distinct())
     hit = long.withColumnRenamed("term", "low").join(own.withColumn("low", F.lower("stem")).hint("merge"), "low").join(chunks.select("chunk_id", "doc_id", "text").hint("merge"), "chunk_id")
     found = hit.filter(F.contains("text", "stem")).select("term", "doc_id")
     short = own.filter(F.length("stem") < 3)

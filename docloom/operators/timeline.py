@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
+
 MONTHLY_SHARE, MAJORITY, EVIDENCE, GAP_DAYS, SPREAD = 0.7, 0.6, 20, 10, 10
 
 
@@ -55,10 +57,10 @@ def cycles(docs: DataFrame, min_years: int = 2) -> DataFrame:
     rule = rule.select("task", "kind", F.when(F.col("kind") == "monthly", F.expr("cast(array() as array<int>)")).otherwise(F.col("common")).alias("months"))
     hit = own.join(rule, "task").filter((F.col("kind") == "monthly") | F.array_contains("months", F.col("month")))
     place = F.row_number().over(Window.partitionBy("task").orderBy("year", "month", "doc"))
-    seen = hit.withColumn("place", place).groupBy("task", "kind", "months").agg(
-        F.countDistinct("year").alias("years_observed"),
-        F.sort_array(F.collect_list(F.when(F.col("place") <= EVIDENCE, F.struct("year", "month", "doc")))).alias("first"),
-    )
+    seen = hit.groupBy("task", "kind", "months").agg(F.countDistinct("year").alias("years_observed"))
+    # a rank filter lets tasks keep the first ones before the shuffle
+    first = hit.select("task", "year", "month", "doc").withColumn("place", place).filter(F.col("place") <= EVIDENCE).groupBy("task").agg(F.sort_array(F.collect_list(F.struct("year", "month", "doc"))).alias("first"))
+    seen = seen.join(first, "task", "left")
     return seen.select("task", "kind", "months", "years_observed", F.when(F.col("years_observed") >= 3, "high").otherwise("medium").alias("confidence"), F.transform("first", lambda x: x["doc"]).alias("evidence"))
 
 
@@ -135,12 +137,11 @@ def steps(candidates: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     """task, year, ordinal, doc, label, month, day_hint, gap_weeks, gap_note.
 
     Documents of a task and year in the order of month, day (unknown days count as the first) and
-    id. A gap is noted between days that are known, whatever stands between them.
+    id. A gap is noted between days that are known, whatever stands between them. A task and year of any size
+    is split by ranges of that order.
     """
-    w = Window.partitionBy("task", "year").orderBy("month", F.coalesce("day", F.lit(1)), "doc")
     known = F.when(F.col("day").isNotNull(), F.make_date("year", "month", "day"))
-    own = candidates.withColumn("ordinal", F.row_number().over(w)).withColumn("_at", known)
-    own = own.withColumn("_gap", F.datediff("_at", F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    own = ranked(candidates, ["task", "year"], [F.col("month"), F.coalesce("day", F.lit(1)), F.col("doc")], "ordinal", {"_before": known}).withColumn("_gap", F.datediff(known, "_before"))
     weeks = F.when(F.col("_gap") >= gap_days, F.greatest(F.lit(1), F.bround(F.col("_gap") / 7)).cast("int"))
     hint = F.when(F.col("day").isNull(), F.concat("month", F.lit("월"))).otherwise(F.concat("month", F.lit("월 "), day_bucket(F.col("day"))))
     own = own.withColumn("gap_weeks", weeks)

@@ -156,17 +156,24 @@ def support_texts(spark, sf_dir):
     return P.support_texts(cited, context).withColumn("support", F.sha2("support", 256))
 
 
-@query(f"""WITH {SECTIONS}, c AS (SELECT doc_id, 'query' AS q, CASE WHEN doc_id % 3 = 0 THEN '1문단' WHEN doc_id % 3 = 1 THEN '2문단 앞' ELSE '?' END AS locator, substr({BODY.format('text')}, 5, 60) AS snippet FROM documents),
-bb AS (SELECT c.doc_id, ordinal, CASE WHEN s.locator = c.locator THEN 1 WHEN ordinal + 1 = TRY_CAST(regexp_extract(c.locator, '^([0-9]+)문단', 1) AS BIGINT) THEN 2 WHEN substr({BODY.format('snippet')}, 1, 40) <> '' AND contains({BODY.format('raw')}, substr({BODY.format('snippet')}, 1, 40)) THEN 3 END AS how
-  FROM c JOIN (SELECT s0.doc_id, CAST(s0.ordinal AS INTEGER) AS ordinal, (s0.ordinal + 1) || '문단' AS locator, raw FROM s0) s ON c.doc_id = s.doc_id)
-SELECT doc_id AS query_id, doc_id, arg_min(ordinal, (how, ordinal)) AS ordinal, min(how) AS how FROM bb WHERE how IS NOT NULL GROUP BY doc_id""")
+@query(f"""WITH {SECTIONS}, d AS (SELECT doc_id, {BODY.format('text')} AS b FROM documents),
+c AS (SELECT doc_id, p AS pos, CASE p WHEN 0 THEN (doc_id % 3 + 1) || '문단' WHEN 1 THEN 'page ' || (doc_id % 5) || ' / 2 문단 앞' WHEN 2 THEN '?' END AS locator, CASE p WHEN 3 THEN substr(b, 1, 7) ELSE substr(b, 5, 60) END AS snippet FROM d, range(4) r(p)),
+n AS (SELECT *, TRY_CAST(regexp_extract(locator, '([0-9]{{1,9}})\\s*문단', 1) AS BIGINT) AS number, substr({BODY.format('snippet')}, 1, 40) AS start FROM c),
+bb AS (SELECT n.doc_id, pos, s.ordinal, CASE WHEN s.locator = n.locator THEN 1 WHEN s.ordinal = number THEN 2 WHEN length(start) >= 8 AND contains({BODY.format('raw')}, start) THEN 3 END AS how
+  FROM n JOIN (SELECT s0.doc_id, CAST(s0.ordinal AS INTEGER) + 1 AS ordinal, (s0.ordinal // 2 + 1) || '문단' AS locator, raw FROM s0) s ON n.doc_id = s.doc_id),
+z AS (SELECT doc_id, pos, min(how) AS how, arg_min(ordinal, (how, ordinal)) AS first FROM bb WHERE how IS NOT NULL GROUP BY doc_id, pos)
+SELECT bb.doc_id AS query_id, bb.pos, bb.doc_id, bb.ordinal, bb.how FROM bb JOIN z ON bb.doc_id = z.doc_id AND bb.pos = z.pos AND bb.how = z.how WHERE bb.how = 1 OR bb.ordinal = first""")
 def cited_sections(spark, sf_dir):
+    """Four citations of each document; sections count from 1 and two of them share a locator."""
     i = F.col("doc_id")
-    where = F.when(i % 3 == 0, "1문단").when(i % 3 == 1, "2문단 앞").otherwise("?")
+    where = [F.concat((i % 3 + 1).cast("string"), F.lit("문단")), F.concat(F.lit("page "), (i % 5).cast("string"), F.lit(" / 2 문단 앞")), F.lit("?"), F.lit(None).cast("string")]
     from ..functions.text import collapse
 
-    cited = table(spark, sf_dir, "documents").select(i.alias("query_id"), "doc_id", where.alias("locator"), F.substring(collapse(F.col("text")), 5, 60).alias("snippet"))
-    return P.cited_sections(cited, sections(spark, sf_dir))
+    body = collapse(F.col("text"))
+    each = F.array(*(F.struct(F.lit(p).cast("long").alias("pos"), w.alias("locator"), (F.substring(body, 1, 7) if p == 3 else F.substring(body, 5, 60)).alias("snippet")) for p, w in enumerate(where)))
+    cited = table(spark, sf_dir, "documents").select(i.alias("query_id"), "doc_id", F.explode(each).alias("c")).select("query_id", "doc_id", "c.*")
+    own = sections(spark, sf_dir).withColumns({"locator": F.concat((F.expr("ordinal div 2") + 1).cast("string"), F.lit("문단")), "ordinal": F.col("ordinal") + 1})
+    return P.cited_sections(cited, own)
 
 
 MAJORITY = f"""{FILES}, {CITED}, mj AS (SELECT query_id, task_id FROM (SELECT query_id, task_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(pos), task_id) AS r FROM ci JOIN links l ON ci.doc_id = l.doc_id GROUP BY query_id, task_id) WHERE r = 1)"""
@@ -212,13 +219,26 @@ def single_task(spark, sf_dir):
 # Edits --------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey AS task_id, CASE WHEN c_custkey % 5 = 0 AND c_custkey > 1 AND (c_custkey // 5) % 2 = 0 THEN 'new' || c_custkey ELSE 'task' || c_custkey END AS name FROM customer""")
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey // 10 AS g, c_custkey % 10 AS r, count(*) OVER (PARTITION BY c_custkey // 10) AS size FROM customer),
+v AS (SELECT k, g, r, size, CASE WHEN size < 10 THEN 'as it was' WHEN g % 4 = 0 THEN CASE WHEN r = 0 THEN 'as it was' ELSE 'down' END WHEN g % 4 = 1 THEN 'as it was' WHEN g % 4 = 2 THEN CASE WHEN r = 9 THEN 'new' ELSE 'as it was' END ELSE CASE WHEN r IN (0, 9) THEN 'new' ELSE 'as it was' END END AS kind FROM c)
+SELECT k AS task_id, CASE kind WHEN 'as it was' THEN 'task' || k WHEN 'new' THEN 'new' || g || '_' || r WHEN 'down' THEN 'task' || (k - 1) END AS name, CASE WHEN kind = 'as it was' THEN 'proposed' ELSE 'edited' END AS status,
+  CASE WHEN kind = 'as it was' THEN 'machine' ELSE 'user' END AS origin, CASE WHEN kind = 'as it was' THEN 'open' ELSE 'confirmed' END AS review_state FROM v WHERE NOT (g % 4 = 0 AND size = 10 AND r = 0)
+UNION ALL SELECT k, 'moved' || g, 'edited', 'user', 'confirmed' FROM v WHERE g % 4 = 0 AND size = 10 AND r = 0""")
 def renamed_tasks(spark, sf_dir):
-    """Every fifth customer asks for a new name; every other of them for one that its neighbour has."""
-    k = F.col("c_custkey")
-    own = table(spark, sf_dir, "customer").select(k.alias("task_id"), F.concat(F.lit("task"), k.cast("string")).alias("name"))
-    edits = table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0 and c_custkey > 1").select(k.alias("task_id"), F.when((k / 5).cast("long") % 2 == 0, F.concat(F.lit("new"), k.cast("string"))).otherwise(F.concat(F.lit("task"), (k - 1).cast("string"))).alias("name"))
-    return E.renamed(own, edits)
+    """Tens of customers: a chain in which each takes the name that the one before has just left; a ring, in which
+    nobody can begin; names asked for one by one before they are free; and two that ask for new ones."""
+    k, own = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    g, r = F.expr("c_custkey div 10"), k % 10
+    whole = own.groupBy(g.alias("g")).agg(F.count("*").alias("size")).filter("size = 10")
+    text = lambda c: c.cast("string")
+    tasks_ = own.select(k.alias("task_id"), F.concat(F.lit("task"), text(k)).alias("name"), F.lit("proposed").alias("status"), F.lit("machine").alias("origin"), F.lit("open").alias("review_state"))
+    rows = own.select(k.alias("task_id"), g.alias("g"), r.alias("r")).join(whole.hint("merge"), "g")
+    t, g, r = F.col("task_id"), F.col("g"), F.col("r")
+    chain = rows.filter("g % 4 = 0").select("task_id", (g * 100 + r).alias("seq"), F.when(r == 0, F.concat(F.lit("moved"), text(g))).otherwise(F.concat(F.lit("task"), text(t - 1))).alias("name"))
+    ring = rows.filter("g % 4 = 1").select("task_id", (g * 100 + r).alias("seq"), F.concat(F.lit("task"), text(F.when(r == 0, t + 9).otherwise(t - 1))).alias("name"))
+    early = rows.filter("g % 4 = 2").select("task_id", (g * 100 + r).alias("seq"), F.when(r == 9, F.concat(F.lit("new"), text(g), F.lit("_9"))).otherwise(F.concat(F.lit("task"), text(t + 1))).alias("name"))
+    free = rows.filter("g % 4 = 3 and r in (0, 9)").select("task_id", (g * 100 + r).alias("seq"), F.concat(F.lit("new"), text(g), F.lit("_"), text(r)).alias("name"))
+    return E.renamed(tasks_, chain.unionByName(ring).unionByName(early).unionByName(free))
 
 
 @query("""WITH e AS (SELECT o_custkey AS task_id, arg_max(o_orderkey % 3 = 0, o_orderkey) AS hide FROM orders GROUP BY o_custkey) SELECT c_custkey AS task_id, coalesce(hide, false) AS not_a_task FROM customer LEFT JOIN e ON task_id = c_custkey""")

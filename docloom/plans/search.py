@@ -83,7 +83,7 @@ SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, documents.doc_id FROM q
 def documents_with_all_parts(spark, sf_dir):
     docs, own = table(spark, sf_dir, "documents"), parts(spark, sf_dir).distinct()
     need = own.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = S.candidates(S.trigrams(docs, "doc_id", "text"), "doc_id", own.select(F.col("part").alias("term")).distinct())
+    found = S.candidates(docs, "doc_id", "text", own.select(F.col("part").alias("term")).distinct())
     hit = found.join(docs.select("doc_id", "text").hint("merge"), "doc_id").filter(F.contains(F.lower("text"), "term")).select("doc_id", F.col("term").alias("part")).distinct()
     return own.join(hit.hint("merge"), "part").groupBy("query_id", "doc_id").agg(F.count("*").alias("have")).join(need.hint("merge"), "query_id").filter("have = need").select("query_id", "doc_id")
 
