@@ -270,3 +270,19 @@ def test_close_pairs_meet_once_in_some_blocks(spark, threshold):
         blocked = V._blocked(own.select("id", V.normalised(F.col("vector")).alias("v")), 8, 16)
         blocks = blocked.select("block").distinct().count()
         assert V.close_blocks(blocked, threshold).count() < blocks * (blocks + 1) / 4
+
+
+def test_part_files_in_order_are_the_report(spark, sf_dir, tmp_path):
+    from docloom.operators import report as R
+    from docloom.plans.report import TODAY, tables
+
+    lines = R.report_lines(tables(spark, sf_dir), "name", TODAY).cache()
+    own = [r["line"] for r in R.numbered(lines).orderBy("line_no").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        R.write_text(lines, f"{tmp_path}/report")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "report").glob("part-*"))
+    assert len(parts) > 1 and own[0] == "# name 인수인계 보고서"
+    assert "".join(p.read_text() for p in parts).splitlines() == own
