@@ -46,10 +46,10 @@ CITED = """ci AS (SELECT conv_id AS query_id, CAST(turn AS BIGINT) AS pos, conv_
 
 
 def questions(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.substring("text", 1, 12).alias("question"))
+    return table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
 
 
-ASKED = """qs AS (SELECT conv_id * 1000 + turn AS id, substr(text, 1, 12) AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL)"""
+ASKED = """qs AS (SELECT conv_id * 1000 + turn AS id, text AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL)"""
 LIVE = "lt AS (SELECT task_id, name FROM tasks WHERE NOT not_a_task AND merged_into IS NULL)"
 
 
@@ -148,11 +148,11 @@ def primary_documents(spark, sf_dir):
     return P.primary_documents(links(spark, sf_dir), docs(spark, sf_dir))
 
 
-@query(f"""WITH {FILES}, {CITED}, k AS (SELECT query_id, doc_id, pos, substr(coalesce(body, ''), 1, 300) AS text FROM (SELECT ci.*, body FROM ci JOIN f ON ci.doc_id = f.doc_id))
+@query(f"""WITH {FILES}, {CITED}, k AS (SELECT query_id, doc_id, pos, coalesce(body, '') AS text FROM (SELECT ci.*, body FROM ci JOIN f ON ci.doc_id = f.doc_id))
 SELECT query_id, doc_id, sha256(string_agg(text, chr(10) ORDER BY pos, text)) AS support FROM k GROUP BY ALL""")
 def support_texts(spark, sf_dir):
     cited = citations(spark, sf_dir)
-    context = cited.join(files(spark, sf_dir).select("doc_id", F.substring(F.coalesce("body", F.lit("")), 1, 300).alias("text")), "doc_id")
+    context = cited.join(files(spark, sf_dir).select("doc_id", F.coalesce("body", F.lit("")).alias("text")), "doc_id")
     return P.support_texts(cited, context).withColumn("support", F.sha2("support", 256))
 
 
@@ -307,11 +307,11 @@ def parsed_answers(spark, sf_dir):
     return own.select("conv_id", "turn", F.size(got["sentences"]).alias("n"), F.sha2(F.get(got["sentences"], F.lit(0))["text"], 256).alias("first"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL AND NOT contains(text, '[')), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM a)
+@query(r"""WITH a AS (SELECT conv_id, turn, regexp_replace('see [7] ' || text || ' [1, 2]', '\s*\[\d+(?:\s*,\s*\d+)*\]', '', 'g') AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM a)
 SELECT conv_id AS query_id, sha256(string_agg(rtrim(text) || ' [' || k || ']', ' ' ORDER BY turn)) AS answer FROM n GROUP BY conv_id""")
 def composed_answers(spark, sf_dir):
-    """Each turn cites a source of its own, so sources are numbered as turns are."""
-    own = table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null and not contains(text, '[')")
+    """Each turn cites a source of its own, so sources are numbered as turns are; marks that it has already go."""
+    own = table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null").withColumn("text", F.concat(F.lit("see [7] "), "text", F.lit(" [1, 2]")))
     said = own.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), "text", F.array((F.col("turn") * 3 + 5).cast("long")).alias("sources"))
     return G.compose(said).withColumn("answer", F.sha2("answer", 256))
 
