@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Vectors are cut in halves, each half is quantised by its own codebook (k-means on a bounded
-sample), and a row belongs to the cell of its two nearest centroids. A query walks the pairs of
-centroids by rising summed distance with a heap until the cells seen hold enough rows; every row
-of those cells is scored by its exact inner product in double precision.
+sample), and a row belongs to the cell of its two nearest centroids. The distance of a query's half from a
+centroid is minus the inner product that rows there can be expected to reach: that with the centroid itself
+and ``REACH`` times the query's norm times the spread around the centroid, which is wide where norms are
+large. A query walks the pairs of centroids by rising summed distance with a heap until the cells seen
+hold enough rows; every row of those cells is scored by its exact inner product in double precision.
 
 Rows are grouped by their first centroid, hot groups are salted into blocks, and a query is sent to
 the groups it visits with the second centroids it wants there. A task holds one block of rows and
@@ -33,6 +35,8 @@ CENTROIDS, SAMPLE_ROWS = 64, 20_000
 #: Share of all rows that the visited cells hold at least, and rows for each neighbour asked for (so that
 #: tables of a few hundred rows still give k neighbours).
 SHARE, ROWS_EACH = 0.5, 20
+#: Spreads around a centroid, in the direction of the query, that its best rows lie beyond it.
+REACH = 0.3
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 32_768
 
 
@@ -58,19 +62,37 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c
 
 
-def codebooks(vectors: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS) -> list[np.ndarray]:
-    """One codebook a half, from the first ``sample_rows`` rows by a hash of vec_id."""
+def codebooks(vectors: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centroids and the spreads around them of each half, from the first ``sample_rows`` rows by a hash of vec_id."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    x = np.array([r["embedding"] for r in rows], np.float64)
+    return fitted(np.array([r["embedding"] for r in rows], np.float64), centroids)
+
+
+def fitted(x: np.ndarray, centroids: int) -> list[tuple[np.ndarray, np.ndarray]]:
     if not len(x):
-        return [np.zeros((1, 1)), np.zeros((1, 1))]
-    cut = max(1, x.shape[1] // 2)
-    return [_kmeans(x[:, :cut], centroids), _kmeans(x[:, cut:], centroids) if x.shape[1] > cut else np.zeros((1, 0))]
+        return [(np.zeros((1, 1)), np.zeros(1))] * 2
+    out, cut = [], max(1, x.shape[1] // 2)
+    for half in (x[:, :cut], x[:, cut:]):
+        book = _kmeans(half, centroids) if half.shape[1] else np.zeros((1, 0))
+        near = ((book * book).sum(1) - 2 * half @ book.T).argmin(1)
+        away = np.bincount(near, ((half - book[near]) ** 2).sum(1), len(book)) / np.maximum(np.bincount(near, minlength=len(book)), 1)
+        out.append((book, np.sqrt(away)))
+    return out
+
+
+def _halves(x: np.ndarray, books: list[tuple[np.ndarray, np.ndarray]]):
+    cut = books[0][0].shape[1]
+    return zip((x[:, :cut], x[:, cut:]), books, strict=True)
+
+
+def cells(x: np.ndarray, books: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The nearest centroid of each half of each row."""
+    return [((c * c).sum(1) - 2 * h @ c.T).argmin(1) for h, (c, _) in _halves(x, books)]
 
 
-def _half_distances(x: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
-    cut = books[0].shape[1]
-    return [(c * c).sum(1) - 2 * h @ c.T for h, c in zip((x[:, :cut], x[:, cut:]), books, strict=True)]
+def distances(x: np.ndarray, books: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each half of each query and each centroid: minus the inner product that rows there can reach."""
+    return [-(h @ c.T) - REACH * np.linalg.norm(h, axis=1)[:, None] * spread for h, (c, spread) in _halves(x, books)]
 
 
 def walk(d0: np.ndarray, d1: np.ndarray, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
@@ -116,11 +138,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = C
         for f in frames:
             x = np.array(f["embedding"].tolist(), np.float64).reshape(len(f), -1)
             if len(f):
-                c = [d.argmin(1) for d in _half_distances(x, books)]
+                c = cells(x, books)
                 yield pd.DataFrame({"vec_id": f["vec_id"], "embedding": f["embedding"], "c0": c[0], "c1": c[1]})
 
     rows = stored(own.mapInPandas(assign, "vec_id long, embedding array<double>, c0 int, c1 int"), "cells")
-    sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
+    sizes = np.zeros((len(books[0][0]), len(books[1][0])), np.int64)
     for r in rows.groupBy("c0", "c1").agg(F.count("*").alias("n")).collect():  # at most centroids**2 rows
         sizes[r["c0"], r["c1"]] = r["n"]
     total = int(sizes.sum())
@@ -132,7 +154,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = C
     def visits(frames):
         for f in frames:
             x = np.array(f["embedding"].tolist(), np.float64).reshape(len(f), -1)
-            d0, d1 = _half_distances(x, books) if len(f) else ([], [])
+            d0, d1 = distances(x, books) if len(f) else ([], [])
             out = []
             for i in range(len(f)):
                 want: dict[int, int] = {}
@@ -145,7 +167,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = C
     block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int")
     queries = asked.mapInPandas(visits, "vec_id long, embedding array<double>, c0 int, salt int, mask long").withColumn("part", block(blocks))
     salt_of = reduce(lambda c, i: c.when(F.col("c0") == i, F.pmod(F.xxhash64("vec_id"), F.lit(int(salts[i])))), range(len(salts)), F.when(F.lit(False), F.lit(0).cast("long")))
-    cells = rows.select("vec_id", "embedding", "c0", "c1", salt_of.cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    dealt = rows.select("vec_id", "embedding", "c0", "c1", salt_of.cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -159,6 +181,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = C
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     key = ["c0", "salt", "part"]
-    found = queries.groupBy(*key).cogroup(cells.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
+    found = queries.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
