@@ -18,8 +18,8 @@ The trained machine is one table of triple weights (35**3), so scoring sums tabl
 needs no kernel evaluations. It never sees labels, lang, source or doc_id.
 
 Cases: null and empty texts, and texts without letters, get the score of an empty text; without
-toxic or without clean training rows the score is the share of toxic rows (0 without rows); repeated
-rows are kept; an empty table gives no rows; extra columns are ignored.
+toxic or without clean training rows, or if they hold no words, the score is the share of toxic rows (0 without
+rows); repeated rows are kept (of a repeated doc_id the machine learns from the smallest text); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import mix, slices, utf8, words
@@ -39,6 +39,8 @@ LETTERS, ORDER, SPAN, DECAY = 35, 3, 5, 0.6
 WINDOW, STRIDE, FEWEST = 24, 12, 4
 #: Most clean and most toxic rows that the machine is fitted on.
 SAMPLE_ROWS = (2000, 1000)
+#: Most characters of all these rows together; rows beyond, by the same order, are not learned from.
+SAMPLE_CHARACTERS = 64_000_000
 LANDMARKS = 128
 CHANCE, ROUNDS = 0.1, 3
 TOP = 3
@@ -252,6 +254,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> di
     chosen += [int(i) for i in np.argsort(-clean, kind="stable")[:landmarks] if i not in chosen][: landmarks - len(chosen)]
     if not len(sure):
         chosen = [int(i) for i in np.argsort(-worth, kind="stable")[: landmarks // 2]] + chosen[: landmarks // 2]
+    if not chosen:
+        return {"table": None, "share": share}
     maps = np.stack([table_of(_spelled(codes, fs, fl, i)) for i in chosen])
     value, vector = np.linalg.eigh((maps @ maps.T).astype(float))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
@@ -319,7 +323,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPL
         part = own.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows[label])
         sample = part if sample is None else sample.unionByName(part)
     # at most sum(sample_rows) rows: a proven bound for the broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    size = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("size", size).filter(F.col("size") <= SAMPLE_CHARACTERS).orderBy("doc_id").select("text", "toxic").collect()
     return train([r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows])
 
 
