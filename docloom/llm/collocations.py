@@ -9,7 +9,7 @@ on demand. A phrase is dropped if a longer candidate holds it that is as frequen
 have the same word before them, or the same word after them, which counting notes.
 
 Counting is a scan: tasks hash words and word runs of their slices, keep those that a bit map of a fixed size
-lets through, and add up; Spark adds up by language and phrase. Words and pairs, of which most are rare, are
+lets through, and add up; Spark adds up by language and phrase. Runs of each length, most of which are rare, are
 counted by hash alone first, and spelled out where that count suffices. Bit maps and hashes let some phrases
 through that they need not; counts of phrases decide. Within a slice, and for neighbours, words are told apart by 64 bits of hash.
 
@@ -135,6 +135,8 @@ def count(docs: DataFrame, lengths: tuple[int, ...], often: Broadcast | None = N
         at, key = at[order], key[order]
         fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         signed = words.view(np.int64)
+        if k == 1:  # neighbours matter to phrases only
+            signed = np.zeros(len(words), np.int64)
         left = np.where((at > 0) & (piece[at - 1] == piece[at]), signed[at - 1], 0)
         after = np.minimum(at + k, len(words) - 1)
         right = np.where((at + k < len(words)) & (piece[after] == piece[at]), signed[after], 0)
@@ -216,12 +218,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         grams = []
         for k in range(2, longest + 1):
             live = shared(grown)
-            if k == 2:
-                pairs = shared(count(docs, (k,), often=is_often, live=live, hashed=True).filter(F.col("n") >= least))
-                grown = count(docs, (k,), wanted=pairs)
-            else:
-                grown = count(docs, (k,), often=is_often, live=live, whole=whole)
-            grown = stored(grown.filter(F.col("n") >= least), "grams")
+            enough = shared(count(docs, (k,), often=is_often, live=live, whole=whole, hashed=True).filter(F.col("n") >= least))
+            grown = stored(count(docs, (k,), wanted=enough).filter(F.col("n") >= least), "grams")
             grams.append(grown.withColumn("k", F.lit(k)))
             if not grown.limit(1).count():
                 break
