@@ -37,7 +37,10 @@ def duplicate_extra(docs: DataFrame) -> DataFrame:
 def with_copies(docs: DataFrame) -> DataFrame:
     """Adds copies and newest_copy of the same hash; null without a hash."""
     groups = _groups(docs).select("hash", F.col("n").alias("copies"), F.col("newest").alias("newest_copy"))
-    return docs.join(groups, "hash", "left")
+    none = {c: F.lit(None).cast(groups.schema[c].dataType) for c in ("copies", "newest_copy")}
+    # rows without a hash are one key, which no join needs to meet
+    found = docs.filter("hash is not null").join(groups.hint("merge"), "hash", "left").select("hash", *(c for c in docs.columns if c != "hash"), *none)
+    return found.unionByName(docs.filter("hash is null").withColumns(none))
 
 
 def counters(docs: DataFrame, tasks: DataFrame, links: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def never_searchable(chunks: DataFrame) -> DataFrame:
 def needing_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Parsed documents that are there, without chunks or with a chunk without a vector."""
     state = chunks.groupBy("doc_id").agg(F.bool_and("embedded").alias("whole"))
-    return docs.filter("not missing and parse_status = 'parsed'").join(state, "doc_id", "left").filter("whole is null or not whole").select("doc_id")
+    return docs.filter("not missing and parse_status = 'parsed'").join(state.hint("merge"), "doc_id", "left").filter("whole is null or not whole").select("doc_id")
 
 
 def folder_tally(docs: DataFrame, most: int = 5) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +22,24 @@ def pack(sections: DataFrame) -> DataFrame:
     own = sections.withColumn("body", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("body != ''").withColumn("n", F.length("body"))
     own = own.withColumn("mix", F.col("kind").isin(*MERGEABLE) & (F.col("n") < MOST))
     shape = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "n", "mix"))).alias("s"))
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("held"), F.lit("").alias("kind"), F.expr("cast(array() as array<struct<ordinal:int, group:int>>)").alias("out"))
-
-    def step(a, x):
-        goes_on = x["mix"] & (a["held"] > 0) & (a["held"] < LEAST) & (a["kind"] == x["kind"])
-        group = F.when(goes_on, a["group"]).otherwise(a["group"] + 1)
-        held = F.when(x["mix"], F.when(goes_on, a["held"]).otherwise(0) + x["n"]).otherwise(0)
-        return F.struct(group.alias("group"), held.alias("held"), x["kind"].alias("kind"), F.concat(a["out"], F.array(F.struct(x["ordinal"].cast("int").alias("ordinal"), group.alias("group")))).alias("out"))
 
-    groups = shape.select("doc_id", F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("g")).select("doc_id", F.col("g.ordinal").alias("ordinal"), F.col("g.group").alias("group"))
-    joined = own.withColumn("ordinal", F.col("ordinal").cast("int")).join(groups, ["doc_id", "ordinal"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, numbers = [], [], []
+            for at, lines in enumerate(batch.column(1).to_pylist()):
+                group = held = 0
+                kind = None
+                for x in lines:
+                    goes_on = x["mix"] and 0 < held < LEAST and kind == x["kind"]
+                    group, kind = group + (not goes_on), x["kind"]
+                    held = (held if goes_on else 0) + x["n"] if x["mix"] else 0
+                    docs.append(at)
+                    places.append(x["ordinal"])
+                    numbers.append(group)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int32()), pa.array(numbers, pa.int32())], ["doc_id", "ordinal", "group"])
+
+    groups = shape.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ordinal int, group int")
+    joined = own.withColumn("ordinal", F.col("ordinal").cast("int")).join(groups.hint("merge"), ["doc_id", "ordinal"])
     merged = joined.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("ordinal", "locator", "body"))).alias("p"))
     merged = merged.select("doc_id", "group", range_locator(F.element_at("p", 1)["locator"], F.element_at("p", -1)["locator"]).alias("locator"), F.array_join(F.col("p.body"), "\n").alias("text"))
     pieces = merged.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CUT).cast("int")))).withColumn("text", F.substring(F.col("text"), F.col("at") * CUT + 1, F.lit(CUT)))

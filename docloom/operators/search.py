@@ -130,7 +130,7 @@ def document_frequency(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
 def distinctive_terms(terms: DataFrame, frequency: DataFrame, documents: int, share: float = 0.5) -> DataFrame:
     """(query_id, term) with a stem in at most half of the documents; all of a query's where none is."""
-    own = terms.join(frequency, "term").withColumn("rank", F.lit(0))
+    own = terms.join(frequency.hint("merge"), "term").withColumn("rank", F.lit(0))
     return soft_filter(own, F.col("df") <= documents * share).select("query_id", "term")
 
 

@@ -117,7 +117,7 @@ def annual_calendar(found: DataFrame) -> DataFrame:
     """month 1..12, tasks: sorted tasks of each month; monthly tasks are left out."""
     months = found.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
     own = found.filter("kind != 'monthly'").select("task", F.explode("months").alias("month")).groupBy("month").agg(F.sort_array(F.collect_set("task")).alias("tasks"))
-    return months.join(own, "month", "left").select("month", F.coalesce("tasks", F.expr("cast(array() as array<bigint>)")).alias("tasks"))
+    return months.join(own.hint("merge"), "month", "left").select("month", F.coalesce("tasks", F.expr("cast(array() as array<bigint>)")).alias("tasks"))
 
 
 def month_counts(found: DataFrame, today: Column) -> DataFrame:

@@ -153,7 +153,7 @@ def invalidate(derived: DataFrame, changed: DataFrame, key: str, decided: Column
     """Derived rows of changed keys go, those that a user decided stay."""
     kept = F.lit(False) if decided is None else F.coalesce(decided, F.lit(False))
     hit = changed.select(key).distinct().withColumn("_hit", F.lit(True))
-    return derived.join(hit, key, "left").filter(F.col("_hit").isNull() | kept).drop("_hit")
+    return derived.join(hit.hint("merge"), key, "left").filter(F.col("_hit").isNull() | kept).drop("_hit")
 
 
 def current_version(derived: DataFrame, version: str) -> DataFrame:
