@@ -286,3 +286,41 @@ def test_part_files_in_order_are_the_report(spark, sf_dir, tmp_path):
     parts = sorted((tmp_path / "report").glob("part-*"))
     assert len(parts) > 1 and own[0] == "# name 인수인계 보고서"
     assert "".join(p.read_text() for p in parts).splitlines() == own
+
+
+def test_long_years_align_like_short_ones(spark):
+    """Ten thousand steps in one group, and small ones against the definition with all lengths at hand."""
+    r = random.Random(6)
+
+    def lengths(a, b):
+        own = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                own[i][j] = own[i + 1][j + 1] + 1 if a[i] == b[j] else max(own[i + 1][j], own[i][j + 1])
+        return own
+
+    for _ in range(300):
+        a, b = (r.choices("abcde", k=r.randint(0, 13)) for _ in range(2))
+        own, j = lengths(a, b), 0
+        for i, k in P._align(a, b):
+            if i is not None and k is None and a[i] in b[j:]:
+                assert own[i + 1][j] == own[i][j]
+            j = j if k is None else k + 1
+        assert sum(i is not None and k is not None for i, k in P._align(a, b)) == own[0][0]
+    rows = [(1, y, n, str(r.randint(0, 400)), 1 + n % 12) for y in (1999, 2000) for n in range(10_000)]
+    found = P.compare_years(spark.createDataFrame(rows, "task long, year int, ordinal int, label string, month int"), 1999, 2000)
+    assert found.filter("earlier_month is not null").count() == 10_000 and found.filter("later_month is not null").count() == 10_000
+
+
+def test_next_stage_from_events(spark):
+    from docloom.operators import stages as W
+
+    stages = [W.Stage("hash", "1"), W.Stage("parse", "2"), W.Stage("embed", "m")]
+    docs_ = spark.createDataFrame([(i, 0, i == 7) for i in range(1, 9)], "doc_id long, revision int, missing boolean")
+    done = lambda i, *names: [(i, 0, n, v, True, None) for n, v in (("hash", "1"), ("parse", "2"), ("embed", "m")) if n in names]
+    bad = lambda i, n, v, e="broken": (i, 0, n, v, False, e)
+    events = [*done(1, "hash", "parse", "embed"), *done(2, "hash"), bad(2, "parse", "2"), *done(3, "hash"), *[bad(3, "parse", "2")] * 3, *done(4, "hash", "embed"), bad(4, "parse", "1"), (5, 1, "hash", "1", True, None), bad(6, "hash", "1", "locked"), *done(7, "hash"), (99, 0, "hash", "1", True, None), (8, 0, "other", "1", True, None), bad(1, "embed", "m")]
+    state = W.stage_state(docs_, spark.createDataFrame(events, "doc_id long, revision int, stage string, version string, ok boolean, error string"), stages)
+    assert {r["doc_id"]: (r["next_stage"], r["state"], r["failures"]) for r in state.collect()} == {1: (None, "done", 0), 2: ("parse", "retry", 1), 3: ("parse", "failed", 3), 4: ("parse", "due", 0), 5: ("hash", "due", 0), 6: ("hash", "due", 0), 7: (None, "missing", 0), 8: ("hash", "due", 0)}
+    assert sorted(r[0] for r in W.work(state, "parse").collect()) == [2, 4]
+    assert {r["stage"]: (r["total"], r["done"], r["due"], r["failed"], r["waiting"]) for r in W.stage_counters(state, stages).collect()} == {"hash": (7, 4, 3, 0, 0), "parse": (7, 1, 2, 1, 3), "embed": (7, 1, 0, 0, 6)}
