@@ -106,6 +106,19 @@ def dated(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.join(last, "doc_id", "left").select("doc_id", F.when(F.col("said").isNotNull(), F.col("said.date")).otherwise(F.col("date")).alias("date"), F.when(F.col("said").isNotNull(), "user").otherwise("machine").alias("decided_by"))
 
 
+def confirmed_steps(steps: DataFrame, edits: DataFrame) -> DataFrame:
+    """Steps (task_id, year, decided_by and more) after confirmations (task_id, year): one makes all steps of its year a user's."""
+    said = edits.select("task_id", "year").distinct().withColumn("_said", F.lit(True))
+    own = steps.join(said.hint("merge"), ["task_id", "year"], "left")
+    return own.withColumn("decided_by", F.when(F.col("_said"), "user").otherwise(F.col("decided_by"))).select(steps.columns)
+
+
+def marks(edits: DataFrame, kind: str) -> DataFrame:
+    """target_id, state of the last mark of a kind (seq, kind, target_id, done): ``done``, or ``pending`` once it is taken back."""
+    last = edits.filter(F.col("kind") == kind).groupBy("target_id").agg(F.max_by("done", "seq").alias("done"))
+    return last.select("target_id", F.when(F.col("done"), "done").otherwise("pending").alias("state"))
+
+
 def rated(questions: DataFrame, ratings: DataFrame) -> DataFrame:
     """id, question, rating: a rating (seq, question, rating) goes to the latest asking of its question."""
     latest = questions.groupBy("question").agg(F.max("id").alias("id"))

@@ -53,6 +53,13 @@ def month_documents(links: DataFrame, docs: DataFrame, most: int = 3) -> DataFra
     return top_per_group(own, ["task_id", "month"], [F.desc("year"), F.col("doc_id")], most).select("task_id", "month", "rank", "doc_id")
 
 
+def ordered_steps(steps: DataFrame, docs: DataFrame) -> DataFrame:
+    """task_id, year, rank, ordinal, label, filename: the steps of each task and year in order; those without a document
+    have no file name. Years of any size are split by ranges."""
+    own = steps.join(docs.select("doc_id", "filename").hint("merge"), "doc_id", "left")
+    return ranked(own, ["task_id", "year"], [F.col("ordinal"), F.col("label"), F.asc_nulls_first("doc_id")]).select("task_id", "year", "rank", "ordinal", "label", "filename")
+
+
 def latest_month_step(steps: DataFrame) -> DataFrame:
     """task, month, year, label: the last step of each month, by year and then ordinal."""
     return top_per_group(steps.filter("month is not null"), ["task", "month"], [F.desc("year"), F.desc("ordinal"), F.col("label")]).select("task", "month", "year", "label")

@@ -69,6 +69,17 @@ def strong(vector_ranked: DataFrame, text_ranked: DataFrame) -> DataFrame:
     return v.union(text_ranked.filter(F.col("rank") <= STRONG_TEXT_RANK).select("query_id", "chunk_id")).distinct()
 
 
+def chunks_in_tasks(hits: DataFrame, asked: DataFrame, links: DataFrame) -> DataFrame:
+    """``hits`` (query_id, chunk_id, doc_id and more) with ``in_task``: whether a link puts the document into the task that the
+    query asks for (query_id, task_id), null for queries that ask for none. Links are met by query and document, so a task
+    of very many documents is as many keys."""
+    wanted = hits.select("query_id", "doc_id").distinct().join(asked.filter("task_id is not null").hint("merge"), "query_id")
+    held = wanted.join(links.select("task_id", "doc_id").distinct().hint("merge"), ["task_id", "doc_id"], "left_semi").select("query_id", "doc_id").distinct().withColumn("_in", F.lit(True))
+    some = asked.filter("task_id is not null").select("query_id").distinct().withColumn("_asks", F.lit(True))
+    own = hits.join(held.hint("merge"), ["query_id", "doc_id"], "left").join(some.hint("merge"), "query_id", "left")
+    return own.select(*hits.columns, F.when(F.col("_asks"), F.coalesce("_in", F.lit(False))).alias("in_task"))
+
+
 def soft_filter(ranked: DataFrame, keep: Column) -> DataFrame:
     """Apply a filter to each query only where something survives it."""
     w = Window.partitionBy("query_id")

@@ -82,8 +82,21 @@ def clean_name(name: Column) -> Column:
     return F.when(F.length(bare).between(2, 20), bare)
 
 
+def clean_category(value: Column, categories: list[str]) -> Column:
+    """The trimmed value if the closed list has it, else null."""
+    return F.when(F.trim(value).isin(*categories), F.trim(value))
+
+
+def clean_confidence(value: Column) -> Column:
+    """high, medium or low in lower case; low for anything else."""
+    low = F.lower(F.trim(value))
+    return F.when(low.isin("high", "medium", "low"), low).otherwise("low")
+
+
 def clean_keywords(words: Column) -> Column:
-    own = F.filter(F.transform(words, lambda w: collapse(w)), lambda w: (w != "") & (F.length(w) <= 30))
+    """The first five distinct words of up to 30 characters, without marks around them; none of null."""
+    bare = F.transform(F.coalesce(words, F.expr("cast(array() as array<string>)")), lambda w: F.regexp_replace(collapse(w), r"^[#·,.]+|[#·,.]+$", ""))
+    own = F.filter(bare, lambda w: (w != "") & (F.length(w) <= 30))
     return F.slice(F.array_distinct(own), 1, 5)
 
 

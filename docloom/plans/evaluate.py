@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import edits as E
+from ..operators import pages as P
 from ..operators import search as S
 from ..operators import verify as G
 from .base import query, table
 from .search import LINES, RANKED, chunks, parts
+from .what import FILES, files, links
 
 FREQUENCY = """df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT DISTINCT part AS term FROM w) t LEFT JOIN c ON contains(text, substr(term, 1, greatest(2, length(term) - 2))) GROUP BY term),
 qt AS (SELECT DISTINCT query_id, part AS term FROM w), fl AS (SELECT query_id, qt.term, df <= 0.5 * (SELECT count(*) FROM documents) AS rare FROM qt JOIN df ON qt.term = df.term),
@@ -67,3 +70,51 @@ def evaluation_summary(spark, sf_dir):
 def case_stability(spark, sf_dir):
     """Seven conversations in a row as rounds of one case."""
     return G.stability(G.judge(*_cases(spark, sf_dir)).select(F.expr("id div 7").alias("id"), (F.col("id") % 7).alias("round"), "passed"))
+
+
+@query(f"""WITH {RANKED}, hi AS (SELECT query_id, chunk_id, chunk_id // {LINES} AS doc_id FROM rk WHERE rank <= 20), lk AS (SELECT CAST(substr(source, 4) AS BIGINT) AS task_id, doc_id FROM documents WHERE length(text) >= 120
+  UNION ALL SELECT (CAST(substr(source, 4) AS BIGINT) + 1) % 20, doc_id FROM documents WHERE doc_id % 6 = 0 AND length(text) >= 120)
+SELECT query_id, chunk_id, CASE WHEN query_id % 3 <> 0 THEN EXISTS (SELECT 1 FROM lk WHERE lk.doc_id = hi.doc_id AND lk.task_id = query_id % 20) END AS in_task FROM hi""")
+def chunks_in_task(spark, sf_dir):
+    """Two of three benchmark items ask within the task of their number."""
+    hits = S.text_rank(chunks(spark, sf_dir), parts(spark, sf_dir), 20).select("query_id", "chunk_id", F.expr(f"chunk_id div {LINES}").alias("doc_id"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 != 0, F.col("item_id") % 20).alias("task_id"))
+    return S.chunks_in_tasks(hits, asked, links(spark, sf_dir)).select("query_id", "chunk_id", "in_task")
+
+
+CATEGORIES = ["plan", "report", "minutes"]
+
+
+@query("""WITH d AS (SELECT doc_id, ['plan', ' report ', 'Minutes', 'other', NULL][doc_id % 5 + 1] AS category, ['HIGH', ' medium', 'sure', NULL][doc_id % 4 + 1] AS confidence, CASE WHEN doc_id % 7 <> 0 THEN list_transform(string_split(coalesce(text, ''), ' '), lambda w: '#' || w || ',') END AS words FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(coalesce(words, []), lambda w: regexp_replace(trim(regexp_replace(w, '\\s+', ' ', 'g')), '^[#·,.]+|[#·,.]+$', '', 'g')), lambda w: w <> '' AND length(w) <= 30) AS ws FROM d),
+u AS (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM k) GROUP BY doc_id, w), f AS (SELECT doc_id, string_agg(w, '|' ORDER BY i) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM u) WHERE r <= 5 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN trim(category) IN ('plan', 'report', 'minutes') THEN trim(category) END AS category, CASE WHEN lower(trim(confidence)) IN ('high', 'medium', 'low') THEN lower(trim(confidence)) ELSE 'low' END AS confidence, coalesce(keywords, '') AS keywords FROM d LEFT JOIN f ON d.doc_id = f.doc_id""")
+def cleaned_proposals(spark, sf_dir):
+    """Categories, confidences and keywords as a model may give them; the keywords are all words of the text."""
+    i = F.col("doc_id")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    words = F.when(i % 7 != 0, F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.concat(F.lit("#"), w, F.lit(","))))
+    return table(spark, sf_dir, "documents").select("doc_id", G.clean_category(pick(["plan", " report ", "Minutes", "other", None]), CATEGORIES).alias("category"), G.clean_confidence(pick(["HIGH", " medium", "sure", None])).alias("confidence"), F.array_join(G.clean_keywords(words), "|").alias("keywords"))
+
+
+def _steps(spark, sf_dir):
+    o = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), F.year("o_orderdate").alias("year"), (o % 5).alias("ordinal"), F.concat(F.lit("step "), (o % 3).cast("string")).alias("label"), o.alias("doc_id"), F.lit("machine").alias("decided_by"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 6 = 0 AND year(o_orderdate) % 2 = 0 THEN 'user' ELSE 'machine' END AS decided_by FROM orders""")
+def confirmed_steps(spark, sf_dir):
+    own = _steps(spark, sf_dir)
+    return E.confirmed_steps(own, own.filter("task_id % 6 = 0 and year % 2 = 0")).select("doc_id", "decided_by")
+
+
+@query("""WITH e AS (SELECT o_custkey AS target_id, arg_max(o_orderkey % 3 <> 0, o_orderkey) AS done FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey) SELECT target_id, CASE WHEN done THEN 'done' ELSE 'pending' END AS state FROM e""")
+def reading_marks(spark, sf_dir):
+    o = F.col("o_orderkey")
+    return E.marks(table(spark, sf_dir, "orders").select(o.alias("seq"), F.when(o % 2 == 0, "reading").otherwise("stray").alias("kind"), F.col("o_custkey").alias("target_id"), (o % 3 != 0).alias("done")), "reading")
+
+
+@query(f"""WITH {FILES}, s AS (SELECT o_custkey AS task_id, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey % 5 AS ordinal, 'step ' || (o_orderkey % 3) AS label, o_orderkey AS doc_id FROM orders)
+SELECT s.task_id, s.year, row_number() OVER (PARTITION BY s.task_id, s.year ORDER BY ordinal, label, s.doc_id) AS rank, ordinal, label, filename FROM s LEFT JOIN f ON s.doc_id = f.doc_id""")
+def ordered_steps(spark, sf_dir):
+    return P.ordered_steps(_steps(spark, sf_dir), files(spark, sf_dir))
