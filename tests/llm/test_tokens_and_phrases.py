@@ -155,7 +155,7 @@ def brute_alignment(texts):
     return out
 
 
-@pytest.mark.parametrize("head", [0, 40, cross_tokens.HEAD])
+@pytest.mark.parametrize("head", [40, cross_tokens.HEAD])
 def test_alignment_equals_brute_force(spark, sf_dir, head):
     texts = nasty(250, 2) + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
     texts += texts[-5:]
