@@ -77,6 +77,21 @@ def grams(df: DataFrame, key: str, text: str, only: Broadcast | None = None) ->
     return df.select(key, F.lower(text).alias("low")).mapInArrow(run, f"{key} {kind}, gram long")
 
 
+def marks(df: DataFrame, carry: list[str], text: str, only: Broadcast) -> DataFrame:
+    """``carry``, low, grams: a row for each text, lower-cased, with those of its distinct trigrams that a map lets through."""
+    own = df.select(*carry, F.lower(text).alias("low"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = only.value
+        for part, texts in steps(batches, len(carry)):
+            row, codes = distinct_grams(texts, bits)
+            at = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(codes))], [*part.schema.names, "grams"])
+
+    return own.mapInArrow(run, f"{kind}, grams array<bigint>")
+
+
 def gram_counts(df: DataFrame, text: str, only: Broadcast | None = None) -> DataFrame:
     """gram, rows: how many texts hold a trigram (those that the map lets through); tasks add up first."""
 

@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_counts, grams, mapped
+from ..functions.grams import gram_counts, grams, mapped, marks
 from ..functions.lineage import cut
-from ..functions.text import collapse, stem
+from ..functions.text import SHORTEST, collapse, stem
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FUSION_K = 60
+#: Most characters of terms that tasks get at once, and what a row counts beside its characters.
+CHARACTERS, ROW = 16_000_000, 64
 STRONG_COSINE, STRONG_TEXT_RANK, EXPLORED, PER_DOC, CONTEXT = 0.40, 8, 16, 2, 8
 
 
-def candidates(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(term, key) of the rows whose ``text`` holds a term's rarest trigram; still to be verified by ``contains``.
-
-    Two scans: one counts the terms' trigrams (a map of a fixed size lets them through), one lists the rows of
-    each term's rarest. Only these reach a shuffle. A term with a trigram that no row holds has no candidates.
-    """
-    spark = texts.sparkSession
+def rarest(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """(term, gram, rows) of the trigram of each lower-cased term that the fewest texts hold; no row if one is held by
+    none. Stored. One scan counts the terms' trigrams (a map of a fixed size lets them through)."""
     need = cut(grams(terms.withColumn("_t", F.col("term")), "_t", "term").withColumnRenamed("_t", "term"))
-    wanted = spark.sparkContext.broadcast(mapped(need))
-    held = gram_counts(texts, text, wanted)
+    held = gram_counts(texts, text, texts.sparkSession.sparkContext.broadcast(mapped(need)))
     known = need.join(held.hint("merge"), "gram", "left").groupBy("term").agg(F.min(F.struct("rows", "gram")).alias("rare"), F.count_if(F.col("rows").isNull()).alias("unheld"))
-    rare = cut(known.filter("unheld = 0").select("term", F.col("rare.gram").alias("gram")))
-    return grams(texts, key, text, spark.sparkContext.broadcast(mapped(rare))).join(rare.hint("shuffle_hash"), "gram").select("term", key)
+    return cut(known.filter("unheld = 0").select("term", F.col("rare.gram").alias("gram"), F.col("rare.rows").alias("rows")))
+
+
+def scanned(texts: DataFrame, carry: list[str], text: str, wanted: DataFrame, weight: Column, keep: Column, out: list[Column | str], most: int = CHARACTERS) -> DataFrame:
+    """``out`` of the pairs of a text and a row of ``wanted`` (gram and more) whose trigram it holds, where ``keep`` is true.
+
+    Both may name the columns ``carry`` of ``texts``, those of ``wanted`` and ``low``, the lower-cased text. Texts are
+    scanned where they lie and meet ``wanted`` there, so they reach no shuffle. ``wanted`` is stored; what weighs more
+    than ``most`` in all comes in as many blocks, a scan each, and a block's result is stored before the next.
+    """
+    context, found = texts.sparkSession.sparkContext, []
+    held, heavy = wanted.agg(F.count("*"), F.sum(weight)).first()
+    number = max(1, min(held, -(-int(heavy or 0) // most)))
+    for n in range(number):
+        own = wanted.filter(F.pmod(F.xxhash64(*wanted.columns), F.lit(number)) == n) if number > 1 else wanted
+        marked = marks(texts, carry, text, context.broadcast(mapped(own)))
+        met = marked.select(*carry, "low", F.explode("grams").alias("gram")).join(F.broadcast(own), "gram").filter(keep).select(*out)
+        found.append(cut(met) if number > 1 else met)
+    return reduce(DataFrame.unionByName, found)
+
+
+def holding(texts: DataFrame, carry: list[str], text: str, terms: DataFrame, out: list[Column | str], keep: Column | None = None) -> DataFrame:
+    """``out`` of the pairs of a text and a lower-cased term (term) that it holds, or where ``keep`` is true of pairs that may."""
+    keep = F.contains("low", "term") if keep is None else keep
+    return scanned(texts, carry, text, rarest(texts, text, terms), F.length("term") + ROW, keep, out)
 
 
 def text_rank(chunks: DataFrame, parts: DataFrame, most: int) -> DataFrame:
@@ -36,22 +58,34 @@ def text_rank(chunks: DataFrame, parts: DataFrame, most: int) -> DataFrame:
     Rarest trigrams find the candidates, so queries do not meet chunks that share nothing with
     them; term frequency counts overlapping places, length is in characters.
     """
-    terms = parts.select(F.lower("part").alias("term")).filter(F.length("part") >= 3).distinct()
-    found = candidates(chunks, "chunk_id", "text", terms)
+    asked = parts.select("query_id", F.lower("part").alias("term")).filter(F.length("term") >= 3).distinct()
+    terms = asked.select("term").distinct()
     size = F.length("text").cast("double")
-    own = chunks.select("chunk_id", F.lower("text").alias("low"), size.alias("size"))
+    often = F.regexp_count("low", F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)")))
+    tf = cut(holding(chunks.withColumn("size", size), ["chunk_id", "size"], "text", terms, ["term", "chunk_id", "size", often.alias("tf")]))
     total = F.broadcast(chunks.agg(F.count("*").alias("chunks"), F.avg(size).alias("mean")))  # one row
-    tf = found.join(own.hint("merge"), "chunk_id").filter(F.contains("low", "term")).select("term", "chunk_id", "size", F.regexp_count("low", F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)"))).alias("tf"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.ln((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    tf = cut(tf)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df.hint("merge"), "term").crossJoin(total).withColumn("s", part)
-    by = parts.select("query_id", F.lower("part").alias("term")).distinct().join(scored.hint("merge"), "term").groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
+    df = cut(asked.join(tf.groupBy("term").agg(F.count("*").alias("df")).hint("merge"), "term"))
+    # the parts of a chunk lie in one task, which adds them up before the shuffle
+    few = df.count() * ROW <= CHARACTERS
+    by = tf.join(F.broadcast(df) if few else df.hint("merge"), "term").crossJoin(total).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return by.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def with_all_parts(docs: DataFrame, key: str, text: str, parts: DataFrame, most: int = CHARACTERS) -> DataFrame:
+    """query_id and ``key`` of the texts that hold all parts (query_id, part) of a query, without regard to case; parts
+    under three characters find nothing. A query's texts are among those of its rarest part, and one part that nothing holds
+    ends it."""
+    asked = cut(parts.select("query_id", F.lower("part").alias("term")).distinct())
+    rare = rarest(docs, text, asked.select("term").distinct())
+    own = asked.join(rare.hint("merge"), "term", "left").groupBy("query_id").agg(F.min_by("gram", F.struct("rows", "term")).alias("gram"), F.count_if(F.col("gram").isNull()).alias("none"), F.transform(F.array_sort(F.collect_list(F.struct("rows", "term"))), lambda x: x["term"]).alias("parts"))
+    wanted = cut(own.filter("none = 0").select("query_id", "gram", "parts"))
+    size = F.aggregate("parts", F.lit(ROW).cast("long"), lambda a, x: a + F.length(x) + ROW)
+    return scanned(docs, [key], text, wanted, size, F.forall("parts", lambda p: F.contains("low", p)), ["query_id", key], most).distinct()
+
+
 def fuse(vector_ranked: DataFrame, text_ranked: DataFrame, k: int = FUSION_K) -> DataFrame:
     """query_id, chunk_id, score, rank: sum of 1 / (k + rank) of both lists; ties keep vector order first."""
     v = vector_ranked.select("query_id", "chunk_id", F.col("rank").alias("v"), F.lit(None).cast("int").alias("t"))
@@ -129,14 +163,22 @@ def document_frequency(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """term, df: documents with a chunk that contains the term's stem; terms of two letters or less are
     matched directly, the others through trigrams."""
     own = terms.select("term", stem(F.col("term")).alias("stem")).distinct()
-    long = candidates(chunks, "chunk_id", "text", own.filter(F.length("stem") >= 3).select(F.lower("stem").alias("term")).distinct())
-    hit = long.withColumnRenamed("term", "low").join(own.withColumn("low", F.lower("stem")).hint("merge"), "low").join(chunks.select("chunk_id", "doc_id", "text").hint("merge"), "chunk_id")
-    found = hit.filter(F.contains("text", "stem")).select("term", "doc_id")
-    short = own.filter(F.length("stem") < 3)
-    letters = chunks.select("doc_id", F.split("text", "").alias("_c"))
-    grams = letters.select("doc_id", F.explode(F.array_distinct(F.array_compact(F.transform("_c", lambda c, i: F.concat(c, F.get("_c", i + 1)))))).alias("stem")).distinct()
-    both = found.unionByName(short.join(grams.hint("merge"), "stem").select("term", "doc_id"))
-    return own.select("term").join(both.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).hint("merge"), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    long = own.filter(F.length("stem") >= 3).select(F.lower("stem").alias("term"), "stem").distinct()
+    rare = rarest(chunks, "text", long.select("term").distinct())
+    wanted = cut(rare.select("term", "gram").join(long.hint("merge"), "term").select("gram", "stem", F.monotonically_increasing_id().alias("n")))
+    # pairs of numbers, distinct within tasks first
+    met = scanned(chunks, ["doc_id", "text"], "text", wanted, F.length("stem") + ROW, F.contains("text", "stem"), ["n", "doc_id"]).filter("doc_id is not null").distinct()
+    found = met.groupBy("n").agg(F.count("*").alias("df")).join(wanted.select("n", "stem").hint("merge"), "n").select("stem", "df")
+    short = cut(own.filter(F.length("stem") == SHORTEST).select("stem").distinct())
+    number = short.count()
+    if number:
+        letters = chunks.select("doc_id", F.split("text", "").alias("_c"))
+        two = F.array_compact(F.transform("_c", lambda c, i: F.concat(c, F.get("_c", i + 1))))
+        pairs = letters.select("doc_id", F.explode(F.array_distinct(two)).alias("stem"))
+        few = number * ROW <= CHARACTERS
+        met = pairs.join(F.broadcast(short) if few else short.hint("shuffle_hash"), "stem").filter("doc_id is not null").distinct()
+        found = found.unionByName(met.groupBy("stem").agg(F.count("*").alias("df")))
+    return own.join(found.hint("merge"), "stem", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 def distinctive_terms(terms: DataFrame, frequency: DataFrame, documents: int, share: float = 0.5) -> DataFrame:

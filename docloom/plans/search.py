@@ -81,11 +81,7 @@ def text_search(spark, sf_dir):
 @query(f"""WITH {CHUNKS}, {PARTS}, q AS (SELECT query_id, list(DISTINCT part) AS ps FROM w GROUP BY query_id)
 SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, documents.doc_id FROM q JOIN (SELECT doc_id, lower(text) AS low FROM documents) documents ON contains(low, ps[1]) AND len(list_filter(ps, lambda p: NOT contains(low, p))) = 0)""")
 def documents_with_all_parts(spark, sf_dir):
-    docs, own = table(spark, sf_dir, "documents"), parts(spark, sf_dir).distinct()
-    need = own.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = S.candidates(docs, "doc_id", "text", own.select(F.col("part").alias("term")).distinct())
-    hit = found.join(docs.select("doc_id", "text").hint("merge"), "doc_id").filter(F.contains(F.lower("text"), "term")).select("doc_id", F.col("term").alias("part")).distinct()
-    return own.join(hit.hint("merge"), "part").groupBy("query_id", "doc_id").agg(F.count("*").alias("have")).join(need.hint("merge"), "query_id").filter("have = need").select("query_id", "doc_id")
+    return S.with_all_parts(table(spark, sf_dir, "documents"), "doc_id", "text", parts(spark, sf_dir))
 
 
 FUSED = f"""{RANKED}, t AS (SELECT query_id, chunk_id, rank FROM rk WHERE rank <= 40), {NORMED},
