@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.grams import gram_counts, grams, mapped, marks
 from ..functions.lineage import cut
 from ..functions.text import SHORTEST, collapse, stem
+from ..sources.shared import scratch
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FUSION_K = 60
@@ -51,6 +52,13 @@ def holding(texts: DataFrame, carry: list[str], text: str, terms: DataFrame, out
     return scanned(texts, carry, text, rarest(texts, text, terms), F.length("term") + ROW, keep, out)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as columns, which for rows of a few numbers take a small part of a checkpoint's room."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_rank(chunks: DataFrame, parts: DataFrame, most: int) -> DataFrame:
     """query_id, chunk_id, score, rank: BM25 of chunks (chunk_id, text) that hold any part (query_id,
     part) as a case-insensitive substring; rank by score, then id.
@@ -60,16 +68,20 @@ def text_rank(chunks: DataFrame, parts: DataFrame, most: int) -> DataFrame:
     """
     asked = parts.select("query_id", F.lower("part").alias("term")).filter(F.length("term") >= 3).distinct()
     terms = asked.select("term").distinct()
-    size = F.length("text").cast("double")
-    often = F.regexp_count("low", F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)")))
-    tf = cut(holding(chunks.withColumn("size", size), ["chunk_id", "size"], "text", terms, ["term", "chunk_id", "size", often.alias("tf")]))
-    total = F.broadcast(chunks.agg(F.count("*").alias("chunks"), F.avg(size).alias("mean")))  # one row
+    size = F.length("text")
+    loops = F.exists(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.left("term", i) == F.right("term", i))
+    wanted = cut(rarest(chunks, "text", terms).select("gram", "term", loops.alias("loops"), F.monotonically_increasing_id().alias("n")))
+    # places overlap only of a term that ends as it begins; others are told from what is left without them
+    left = F.octet_length(F.replace("low", "term", F.lit("")))
+    often = F.when(F.col("loops"), F.regexp_count("low", F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)")))).otherwise(((F.octet_length("low") - left) / F.octet_length("term")).cast("int"))
+    tf = kept(scanned(chunks.withColumn("size", size), ["chunk_id", "size"], "text", wanted, F.length("term") + ROW, F.contains("low", "term"), ["n", "chunk_id", "size", often.alias("tf")]))
+    total = F.broadcast(chunks.agg(F.count("*").alias("chunks"), F.avg(size.cast("double")).alias("mean")))  # one row
     idf = F.greatest(F.lit(IDF_FLOOR), F.ln((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    df = cut(asked.join(tf.groupBy("term").agg(F.count("*").alias("df")).hint("merge"), "term"))
+    df = cut(asked.join(wanted.select("term", "n").hint("merge"), "term").join(tf.groupBy("n").agg(F.count("*").alias("df")).hint("merge"), "n").select("query_id", "n", "df"))
     # the parts of a chunk lie in one task, which adds them up before the shuffle
     few = df.count() * ROW <= CHARACTERS
-    by = tf.join(F.broadcast(df) if few else df.hint("merge"), "term").crossJoin(total).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    by = tf.join(F.broadcast(df) if few else df.hint("merge"), "n").crossJoin(total).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return by.withColumn("rank", rank).filter(F.col("rank") <= most)
 

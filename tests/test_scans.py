@@ -33,3 +33,21 @@ def test_document_frequency_counts_documents_once_and_keeps_case(spark):
     chunks = spark.createDataFrame([(1, 1, "abcd xy"), (2, 1, "abcd"), (3, 2, "ABCD"), (4, 3, "zxyz"), (5, None, "abcd"), (6, 4, None)], "chunk_id long, doc_id long, text string")
     terms = spark.createDataFrame([("abcdef",), ("ABCDEF",), ("xyz",), ("none00",), ("a",)], "term string")
     assert {r["term"]: r["df"] for r in S.document_frequency(chunks, terms).collect()} == {"abcdef": 1, "ABCDEF": 1, "xyz": 2, "none00": 0, "a": 0}
+
+
+def test_overlapping_places_and_terms_without_any_are_counted_alike(spark):
+    """Places of a term that ends as it begins overlap; what is kept between the scans is numbers, not terms."""
+    chunks = spark.createDataFrame([(1, "anana banana"), (2, "needle needle"), (3, "nothing")], "chunk_id long, text string")
+    one = lambda part: {r["chunk_id"]: r["score"] for r in S.text_rank(chunks, spark.createDataFrame([(1, part)], "query_id long, part string"), 5).collect()}
+    score = lambda tf, size: 1e-6 * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (32 / 3)))
+    idf = 0.5108256237659907  # ln(2.5 / 1.5)
+    assert abs(one("ana")[1] - score(4, 12) * idf / 1e-6) < 1e-9
+    assert abs(one("needle")[2] - score(2, 13) * idf / 1e-6) < 1e-9
+
+
+def test_numbers_are_kept_in_little_room(spark):
+    import os
+
+    found = S.kept(spark.range(200000).select("id", F.lit(3).alias("tf")))
+    path = found.inputFiles()[0].removeprefix("file://")
+    assert found.count() == 200000 and sum(os.path.getsize(os.path.join(os.path.dirname(path), f)) for f in os.listdir(os.path.dirname(path))) < 200000 * 16
