@@ -32,17 +32,26 @@ def _has(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def distinct_grams(texts: list[str], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, code) of the distinct trigrams of each text, in order of rows and codes."""
+def _six(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Negative hashes of six characters in a row, from the numbers of their halves."""
+    mixed = (first.astype(np.uint64) * _MIX ^ second.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return ~(mixed >> np.uint64(1)).astype(np.int64)
+
+
+def distinct_grams(texts: list[str], bits: np.ndarray | None = None, sixes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct trigrams of each text, in order of rows and codes; also hashes of ``sixes``."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     if len(points) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
-    good = row[:-2] == row[2:]
+    good, at = row[:-2] == row[2:], row[:-2]
+    if sixes and len(points) >= 6:
+        good, at = np.concatenate([good, row[:-5] == row[5:]]), np.concatenate([at, row[:-5]])
+        codes = np.concatenate([codes, _six(codes[:-3], codes[3:])])
     if bits is not None:
         good &= _has(bits, codes)
-    codes, row = codes[good], row[:-2][good]
+    codes, row = codes[good], at[good]
     order = np.argsort(codes, kind="stable")
     order = order[np.argsort(row[order], kind="stable")]
     codes, row = codes[order], row[order]
@@ -78,20 +87,36 @@ def grams(df: DataFrame, key: str, text: str, only: Broadcast | None = None) ->
 
 
 def marks(df: DataFrame, carry: list[str], text: str, only: Broadcast) -> DataFrame:
-    """``carry``, low, grams: a row for each text, lower-cased, with those of its distinct trigrams that a map lets through."""
+    """``carry``, low, grams: a row for each text, lower-cased, with those of its distinct trigrams and sixes that a map lets through."""
     own = df.select(*carry, F.lower(text).alias("low"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = only.value
         for part, texts in steps(batches, len(carry)):
-            row, codes = distinct_grams(texts, bits)
+            row, codes = distinct_grams(texts, bits, True)
             at = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(codes))], [*part.schema.names, "grams"])
 
     return own.mapInArrow(run, f"{kind}, grams array<bigint>")
 
 
+def led(df: DataFrame) -> DataFrame:
+    """(term, gram, rows) with the hash of a term's first six characters in place of its trigram, where it has so many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_numpy(zero_copy_only=False).copy()
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                if len(t) >= 6:
+                    p = np.frombuffer(t[:6].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                    half = p[0::3] << 42 | p[1::3] << 21 | p[2::3]
+                    grams[i] = _six(half[:1], half[1:])[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams), batch.column(2)], ["term", "gram", "rows"])
+
+    return df.select("term", "gram", "rows").mapInArrow(run, "term string, gram long, rows long")
+
+
 def gram_counts(df: DataFrame, text: str, only: Broadcast | None = None) -> DataFrame:
     """gram, rows: how many texts hold a trigram (those that the map lets through); tasks add up first."""
 

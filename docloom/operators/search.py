@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grams import gram_counts, grams, mapped, marks
+from ..functions.grams import gram_counts, grams, led, mapped, marks
 from ..functions.lineage import cut
 from ..functions.text import SHORTEST, collapse, stem
 from ..sources.shared import scratch
@@ -20,12 +20,13 @@ STRONG_COSINE, STRONG_TEXT_RANK, EXPLORED, PER_DOC, CONTEXT = 0.40, 8, 16, 2, 8
 
 
 def rarest(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """(term, gram, rows) of the trigram of each lower-cased term that the fewest texts hold; no row if one is held by
-    none. Stored. One scan counts the terms' trigrams (a map of a fixed size lets them through)."""
+    """(term, gram, rows) of each lower-cased term: the trigram that the fewest texts hold and how many do, with the hash of its
+    first six characters instead for a term of so many; no row if one is held by none. Stored. One scan counts the terms' trigrams (a map of a fixed size lets them through)."""
     need = cut(grams(terms.withColumn("_t", F.col("term")), "_t", "term").withColumnRenamed("_t", "term"))
     held = gram_counts(texts, text, texts.sparkSession.sparkContext.broadcast(mapped(need)))
     known = need.join(held.hint("merge"), "gram", "left").groupBy("term").agg(F.min(F.struct("rows", "gram")).alias("rare"), F.count_if(F.col("rows").isNull()).alias("unheld"))
-    return cut(known.filter("unheld = 0").select("term", F.col("rare.gram").alias("gram"), F.col("rare.rows").alias("rows")))
+    # many words share a trigram, few share six characters
+    return cut(led(known.filter("unheld = 0").select("term", F.col("rare.gram").alias("gram"), F.col("rare.rows").alias("rows"))))
 
 
 def scanned(texts: DataFrame, carry: list[str], text: str, wanted: DataFrame, weight: Column, keep: Column, out: list[Column | str], most: int = CHARACTERS) -> DataFrame:

@@ -51,3 +51,11 @@ def test_numbers_are_kept_in_little_room(spark):
     found = S.kept(spark.range(200000).select("id", F.lit(3).alias("tf")))
     path = found.inputFiles()[0].removeprefix("file://")
     assert found.count() == 200000 and sum(os.path.getsize(os.path.join(os.path.dirname(path), f)) for f in os.listdir(os.path.dirname(path))) < 200000 * 16
+
+
+def test_terms_of_six_characters_meet_few_texts(spark):
+    """Texts with a term's trigrams but not its first six characters in a row are no candidates; any place in a text counts."""
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "abcd bcde cdef defg"), (3, "xx ABCDEFG"), (4, "ähnlich \U0001f600bcdéfg")], "doc_id long, text string")
+    terms = spark.createDataFrame([("abcdefg",), ("\U0001f600bcdéf",)], "term string")
+    met = S.scanned(docs, ["doc_id"], "text", S.rarest(docs, "text", terms), F.lit(1), F.lit(True), ["term", "doc_id"])
+    assert sorted((r["term"], r["doc_id"]) for r in met.collect()) == [("abcdefg", 1), ("abcdefg", 3), ("\U0001f600bcdéf", 4)]
