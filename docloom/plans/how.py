@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import compare as P
 from ..operators import timeline as T
 from ..sources import ingest as I
@@ -61,8 +62,8 @@ def merged_tasks(spark, sf_dir):
 
 @query()
 def replayed_edits(spark, sf_dir):
-    own = _steps(spark, sf_dir)
-    edits = _steps(spark, sf_dir).filter("task % 7 = 0 and ordinal = 1").select("task", "year", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("relabel").alias("op"), F.lit(1).alias("at"), F.lit("first").alias("label")), F.struct(F.lit(2).alias("seq"), F.lit("add").alias("op"), F.lit(1).alias("at"), F.lit("new").alias("label")), F.struct(F.lit(3).alias("seq"), F.lit("delete").alias("op"), F.lit(3).alias("at"), F.lit("").alias("label")))).alias("e")).select("task", "year", "e.*")
+    own = cut(_steps(spark, sf_dir).select("task", "year", "ordinal", "label"))
+    edits = own.filter("task % 7 = 0 and ordinal = 1").select("task", "year", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("relabel").alias("op"), F.lit(1).alias("at"), F.lit("first").alias("label")), F.struct(F.lit(2).alias("seq"), F.lit("add").alias("op"), F.lit(1).alias("at"), F.lit("new").alias("label")), F.struct(F.lit(3).alias("seq"), F.lit("delete").alias("op"), F.lit(3).alias("at"), F.lit("").alias("label")))).alias("e")).select("task", "year", "e.*")
     return P.replay_order(own, edits)
 
 

@@ -345,3 +345,29 @@ def test_years_are_compared_without_a_call_for_each_task(spark):
         same = sum(x["change"] == "SAME" for x in seen[t])
         a, b = ([label and label.replace(" ", "") for label, _ in of[t, y]] for y in (1999, 2000))
         assert same == sum(i is not None and k is not None for i, k in P._align(a, b))
+
+
+def test_edits_are_replayed_without_a_call_for_each_year(spark):
+    r = random.Random(6)
+    steps = [(t, 2000, n, f"s{n}") for t in range(40) for n in range(1, r.randint(0, 6) + 1)]
+    edits = [(t, 2000, s, op, r.randint(-2, 8), str(r.randint(-1, 8)) if op == "move" else f"e{s}") for t in range(0, 40, 2) for s in range(9) for op in [r.choice(["relabel", "add", "delete", "move"])]]
+    expected = {}
+    for t in range(40):
+        rows = [label for a, _, _, label in steps if a == t]
+        for _, _, _, op, at, value in sorted(e for e in edits if e[0] == t):
+            i = at - 1
+            if op == "add":
+                rows.insert(min(max(i + 1, 0), len(rows)), value)
+            elif 0 <= i < len(rows) and op == "relabel":
+                rows[i] = value
+            elif 0 <= i < len(rows) and op == "delete":
+                rows.pop(i)
+            elif 0 <= i < len(rows):
+                rows.insert(min(max(int(value) - 1, 0), len(rows) - 1), rows.pop(i))
+        expected[t] = rows
+    out = P.replay_order(spark.createDataFrame(steps, "task long, year int, ordinal int, label string"), spark.createDataFrame(edits, "task long, year int, seq int, op string, at int, label string"))
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for x in sorted(out.collect(), key=lambda x: (x["task"], x["ordinal"])):
+        found.setdefault(x["task"], []).append(x["label"])
+    assert found == {t: rows for t, rows in expected.items() if rows}
