@@ -393,3 +393,14 @@ def test_index_search_of_terms_with_blanks(spark, tmp_path):
     found = index.search(spark.createDataFrame([("p", "a b"), ("q", "WORD1 x")], "query_id string, term string")).collect()
     assert {x["key"] for x in found if x["query_id"] == "p"} == {i for i in range(40) if i % 3 == 0}
     assert {x["key"] for x in found if x["query_id"] == "q"} == {i for i in range(40) if i % 4 == 1}
+
+
+def test_search_goes_by_strips(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(150, 5))
+    own = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-np.round(unit @ unit.T, 12), axis=1, kind="stable")[:, :4]
+    assert V.STRIP < len(x) <= V.BLOCK
+    found = V.search(own, own.withColumnRenamed("id", "query_id"), 4).collect()
+    assert {(f["query_id"], f["rank"]): f["id"] for f in found} == {(q, k + 1): int(best[q, k]) for q in range(len(x)) for k in range(4)}
