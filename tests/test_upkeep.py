@@ -395,6 +395,23 @@ def test_index_search_of_terms_with_blanks(spark, tmp_path):
     assert {x["key"] for x in found if x["query_id"] == "q"} == {i for i in range(40) if i % 4 == 1}
 
 
+@pytest.mark.parametrize("threshold", [0.4, -0.2])
+def test_close_pairs_and_counts_over_several_groups(spark, monkeypatch, threshold):
+    monkeypatch.setattr(V, "GROUP", 40)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(230, 4)).round(3)
+    x[5], x[7] = x[6], 0
+    own = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vector array<double>").repartition(5)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(norm == 0, 1, norm)
+    close = (unit @ unit.T >= threshold) & ~np.eye(len(x), dtype=bool)
+    edges = V.edges(own, threshold, pivots=6, size=9)
+    assert "CoGrouped" not in edges._jdf.queryExecution().executedPlan().toString()
+    found = [(e["a"], e["b"]) for e in edges.collect()]
+    assert len(found) == len(set(found)) and set(found) == set(zip(*map(np.ndarray.tolist, np.nonzero(close)), strict=True))
+    assert {e["id"]: e["n"] for e in V.neighbours(own, threshold).collect()} == {i: n for i, n in enumerate(close.sum(axis=1).tolist()) if n}
+
+
 def test_search_goes_by_strips(spark, monkeypatch):
     r = np.random.default_rng(4)
     x = r.normal(size=(150, 5))
