@@ -7,14 +7,19 @@ named below. "Of a task" means one ranked row for each task and item; a page tak
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.ranks import ranked
 from ..functions.text import clip, collapse
 from .catalogue import top_per_group, with_copies
 
 
+#: Most rows of steps that are sent to all tasks.
+FIRST = 100_000
+
+
 def live(tasks: DataFrame) -> DataFrame:
     return tasks.filter(~F.col("not_a_task") & F.col("merged_into").isNull())
 
@@ -161,9 +166,19 @@ def next_steps(cited: DataFrame, links: DataFrame, docs: DataFrame, steps: DataF
     latest year cited the first whose document isn't cited."""
     task = majority_task(cited, links)
     year = cited.join(docs.select("doc_id", "year"), "doc_id").groupBy("query_id").agg(F.max("year").alias("year"))
-    own = task.join(year, "query_id").join(steps, ["task_id", "year"])
-    left = own.join(cited.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
-    return top_per_group(left, ["query_id"], [F.col("ordinal"), F.col("label")]).select("query_id", "task_id", "year", "label")
+    own = cut(task.join(year.hint("merge"), "query_id"))
+    placed = ranked(steps.filter("task_id is not null and year is not null").select("task_id", "year", "ordinal", "label", "doc_id"), ["task_id", "year"], [F.col("ordinal"), F.col("label"), F.col("doc_id")], "_place")
+    placed = cut(placed.select("task_id", "year", "doc_id", "label", "_place"))
+    # a query meets the steps that it cites, not all of its task's year; the first place that none of these has is its own
+    cites = cited.select("query_id", "doc_id").distinct().join(own.hint("merge"), "query_id")
+    taken = cites.join(placed.hint("merge"), ["task_id", "year", "doc_id"]).select("query_id", "_place").distinct()
+    taken = taken.withColumn("_number", F.row_number().over(Window.partitionBy("query_id").orderBy("_place")))
+    last = taken.filter("_place = _number").groupBy("query_id").agg(F.max("_place").alias("_last"))
+    own = cut(own.join(last.hint("merge"), "query_id", "left").withColumn("_place", F.coalesce("_last", F.lit(0)) + 1))
+    # most queries ask for one of a few places
+    first = cut(placed.filter(F.col("_place") <= (own.agg(F.max("_place")).first()[0] or 0)))
+    first = F.broadcast(first) if first.count() <= FIRST else first.hint("merge")
+    return own.join(first, ["task_id", "year", "_place"]).select("query_id", "task_id", "year", "label")
 
 
 def question_history(questions: DataFrame, most: int = 5) -> DataFrame:

@@ -421,3 +421,24 @@ def test_search_goes_by_strips(spark, monkeypatch):
     assert V.STRIP < len(x) <= V.BLOCK
     found = V.search(own, own.withColumnRenamed("id", "query_id"), 4).collect()
     assert {(f["query_id"], f["rank"]): f["id"] for f in found} == {(q, k + 1): int(best[q, k]) for q in range(len(x)) for k in range(4)}
+
+
+def test_next_steps_do_not_meet_all_steps_of_a_year(spark):
+    r = random.Random(9)
+    steps = list({(d % 2, 2000 + d % 3, r.randint(1, 3), f"s{d}", d) for d in range(60)})
+    links = [(s[0], s[4], True) for s in steps]
+    cited = [(q, p, r.randint(0, 70)) for q in range(50) for p in range(r.randint(1, 25))]
+    docs = [(s[4], s[1]) for s in steps]
+    c = spark.createDataFrame(cited, "query_id long, pos long, doc_id long")
+    k = spark.createDataFrame(links, "task_id long, doc_id long, is_primary boolean")
+    found = G.next_steps(c, k, spark.createDataFrame(docs, "doc_id long, year int"), spark.createDataFrame(steps, "task_id long, year int, ordinal int, label string, doc_id long"))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    task = {x["query_id"]: x["task_id"] for x in G.majority_task(c, k).collect()}
+    expected, year = {}, dict(docs)
+    for q, t in task.items():
+        own = {d for a, _, d in cited if a == q}
+        last = max(year[d] for d in own if d in year)
+        rest = sorted((s[2], s[3]) for s in steps if s[0] == t and s[1] == last and s[4] not in own)
+        if rest:
+            expected[q] = (t, last, rest[0][1])
+    assert {x["query_id"]: (x["task_id"], x["year"], x["label"]) for x in found.collect()} == expected
