@@ -83,6 +83,20 @@ def test_leader_clusters_equal_greedy(spark):
         assert found == expected, trial
 
 
+@pytest.mark.parametrize("ahead, few", [(4, 0), (7, 3), (2048, 32)])
+def test_clusters_without_links_equal_leaders_over_them(spark, monkeypatch, ahead, few):
+    """Some links, all or none go through the batches; links that are written stay under their bound."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 4))
+    x[40:60] = x[40]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 4)], "id long, vector array<double>")
+    expected = {r["id"]: r["seed"] for r in V.leaders(df, V.edges(df, 0.75)).collect()}
+    own, made = V.edges, []
+    monkeypatch.setattr(V, "edges", lambda *a, **b: made.append(own(*a, **b)) or made[-1])
+    assert {r["id"]: r["seed"] for r in V.clusters(df, 0.75, ahead=ahead, few=few).collect()} == expected
+    assert sum(m.count() for m in made) <= few * 92
+
+
 def test_alignment_is_a_longest_common_subsequence():
     random.seed(3)
     for _ in range(200):
