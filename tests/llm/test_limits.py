@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import ann, line_dedup, toxicity
 
@@ -36,6 +37,50 @@ def test_long_and_short_lines_with_changed_letters(spark):
         assert sum(i // 200 == n for i in gone) >= least * 100
 
 
+def test_lines_that_share_phrases_alone_are_not_paired(spark, monkeypatch):
+    """150 lines of three phrases that all hold and thirty words of their own: pairs to compare must not be all pairs."""
+    r, made = random.Random(8), {}
+    phrases, texts = [" ".join(words(r, 2)) + " everywhere" for _ in range(3)], []
+    for _ in range(150):
+        parts = phrases + words(r, 30)
+        r.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [letters_changed(r, t, 3) for t in texts[:50]]
+    own = line_dedup.stored
+
+    def stored(df, name="table"):
+        out = own(df, name)
+        made[name] = max(made.get(name, 0), out.count() if name in ("first", "pairs", "second") else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    gone = {x["doc_id"] for x in line_dedup.decisions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if x["n_dropped"]}
+    assert gone == set(range(150, 200))
+    print(made)
+    assert made.get("second", made.get("pairs")) <= 3 * len(texts)
+
+
+def test_lines_within_the_bound_by_every_way(spark):
+    """The comparison and its bound from below against plain edit distance: common ends, shifts, other scripts, many and few edits."""
+    r, rows = random.Random(11), []
+    for n in range(400):
+        a = " ".join(words(r, r.choice([1, 3, 12, 60, 150])))
+        if n % 5 == 0:
+            a = "".join(r.choice("가나다라마바사 éüñß") if r.random() < 0.7 else c for c in a)
+        b, most = list(a), len(a) // 10
+        for _ in range(r.choice([1, most // 2, most, most + 1, 2 * most])):
+            k = r.randrange(len(b) + 1) if n % 3 else min(len(b), r.randrange(len(b) // 3 + 1) + len(b) // 3)
+            b[k : k + r.choice([0, 1])] = r.choice(["", "x", "q", " ", "é"])
+        b = "".join(b) if n % 7 else " ".join(words(r, len(a.split())))
+        rows.append((a, b if n % 11 else a[: len(a) - most // 2]))
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({"d": F.levenshtein("a", "b"), "most": line_dedup._most(F.length("a"), F.length("b"))})
+    df = df.withColumn("apart", line_dedup._apart(line_dedup._counts(F.col("a")), line_dedup._counts(F.col("b")), F.length("a"), F.length("b")))
+    found = df.withColumn("close", line_dedup._within(*map(F.col, ("a", "b", "apart", "most")))).collect()
+    assert all(x["apart"] <= 2 * x["d"] for x in found)
+    assert all(x["close"] == (x["d"] <= x["most"]) for x in found)
+    assert 50 < sum(x["close"] for x in found) < 350
+
+
 @pytest.mark.parametrize("spread", [0.5, 1.0])
 def test_recall_where_norms_differ(spark, spread):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
