@@ -81,6 +81,64 @@ def test_lines_within_the_bound_by_every_way(spark):
     assert 50 < sum(x["close"] for x in found) < 350
 
 
+def test_later_pairs_are_compared_where_they_meet(spark, monkeypatch):
+    """Lines of common phrases: of the later pairs links alone are stored; those to be compared are few, and each one is compared once."""
+    r, tables = random.Random(21), []
+    phrases = [" ".join(words(r, 2)) + " everywhere" for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        parts = phrases + words(r, 30)
+        r.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [letters_changed(r, t, n) for t in texts for n in (3, 9)]
+    own = line_dedup.stored
+
+    def stored(df, name="table"):
+        out = own(df, name)
+        if name == "second":
+            tables.append([tuple(x) for x in out.select("a", "b").collect()])
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {x["doc_id"] for x in line_dedup.decisions(docs).collect() if x["n_dropped"]}
+    assert gone == set(range(60, 180))
+    monkeypatch.setattr(line_dedup, "_bare_within", lambda a, b, most: F.lit(True))
+    monkeypatch.setattr(line_dedup, "_within", lambda a, b, apart, most: (apart <= 2 * most) & line_dedup._let(F.struct(a, b), lambda p: F.lit(True)))
+    line_dedup.decisions(docs).collect()
+    links, compared = tables
+    base = lambda n: n if n < 60 else (n - 60) // 2
+    of = {x["id"]: base(x["doc_id"]) for x in docs.select("doc_id", F.xxhash64(F.lower("text")).alias("id")).collect()}
+    assert all(of[a] == of[b] for a, b in links)
+    assert len(links) <= len(compared) <= 3 * len(texts)
+    assert len(set(compared)) == len(compared)
+
+
+def test_cuts_show_most_links_of_long_lines(spark):
+    """The bound from above is no less than the edits, and within the bound for nearly all lines with letters, words or a block changed."""
+    r, rows = random.Random(31), []
+    for n in range(200):
+        own = words(r, r.choice([40, 150, 600]))
+        a = " ".join(own)
+        if n % 4 == 0:
+            b = letters_changed(r, a, len(a) // 25)
+        elif n % 4 == 1:
+            for k in r.sample(range(len(own)), len(own) // 25):
+                own[k] = " ".join(words(r, r.choice([1, 2])))
+            b = " ".join(own)
+        elif n % 4 == 2:
+            k = r.randrange(len(a) // 2)
+            b = letters_changed(r, a[:k] + a[k + len(a) // 25 :], len(a) // 50)
+        else:
+            b = " ".join(words(r, len(own)))
+        rows.append((n % 4, a, b))
+    df = spark.createDataFrame(rows, "kind int, a string, b string").withColumns({"d": F.levenshtein("a", "b"), "most": line_dedup._most(F.length("a"), F.length("b"))})
+    found = df.withColumn("shown", line_dedup._at_most(*map(F.col, ("a", "b", "most")))).collect()
+    assert all(x["shown"] >= min(x["d"], x["most"] + 1) for x in found)
+    assert all(x["shown"] > x["most"] for x in found if x["kind"] == 3)
+    assert sum(x["shown"] <= x["most"] for x in found) >= 140
+
+
 @pytest.mark.parametrize("spread", [0.5, 1.0])
 def test_recall_where_norms_differ(spark, spread):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
