@@ -158,3 +158,34 @@ def test_labels_of_texts_without_words(spark):
     model = toxicity.train(["", "", "1 2", "?"], [0, 1, 1, 0])
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "some words")], "doc_id long, text string")
     assert {r["score"] for r in toxicity.score_documents(docs, model).collect()} == {0.5}
+
+
+def test_texts_go_only_to_lines_with_a_partner(spark, monkeypatch):
+    """Lines that share many words but are of other lengths meet in lists of many components; texts are sent only for those that may be linked to one of another component."""
+    r, sent, met = random.Random(5), [], []
+    shared, texts = words(r, 30), []
+    for k in range(16):
+        texts.append(" ".join(shared + words(r, int(40 * 1.12**k) - 30)))
+    texts += [letters_changed(r, t, 3) for t in texts]
+    own = line_dedup.stored
+
+    def stored(df, name="table"):
+        out = own(df, name)
+        if name == "texts":
+            sent.append(out.count())
+        if name == "postings":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, line_dedup.decisions(docs).select("doc_id", "n_dropped").collect()))
+    assert [d for d, n in whole if n] == list(range(16, 32))
+    assert len(met) == 1 and sent[-1] <= 16
+    # the same rows if keys are met, and texts are copied, in slices
+    met.clear()
+    monkeypatch.setattr(line_dedup, "SLICES", 3)
+    monkeypatch.setattr(line_dedup, "SLICE", 4)
+    monkeypatch.setattr(line_dedup, "COPIED", 1)
+    assert sorted(map(tuple, line_dedup.decisions(docs).select("doc_id", "n_dropped").collect())) == whole
+    assert len(met) == 3
