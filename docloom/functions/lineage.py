@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +20,11 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="docloom-"))
     return df.checkpoint()
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that no live plan refers to, which it does when the driver's JVM collects garbage."""
+    for _ in range(2):  # the first lets go of Python's handles, the second of what these held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)

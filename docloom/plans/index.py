@@ -61,5 +61,6 @@ def document_search_after_changes(spark, sf_dir):
     index = TextIndex.create(fielded(docs), scratch(spark, "index"), "doc_id", FIELDS)
     index.upsert(fielded(docs.filter("doc_id % 10 = 3").withColumn("text", F.concat("source", F.lit(" Author\n"), "text"))))
     index.merge()
+    index.vacuum()
     index.remove(docs.filter("doc_id % 17 = 5").select("doc_id"))
     return _found(index, spark, sf_dir)

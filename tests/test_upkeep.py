@@ -12,6 +12,7 @@ from docloom.operators import compare as P
 from docloom.operators import edits as E
 from docloom.operators import pages as G
 from docloom.operators import vectors as V
+from docloom.operators import text_index
 from docloom.operators.text_index import TextIndex
 from docloom.sources import publish, shared
 
@@ -92,6 +93,29 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     assert found(index, spark, ["qqq"]) == [(0, 1, 1)]
 
 
+def test_live_documents_are_told_where_they_lie(spark, tmp_path, monkeypatch):
+    """Neither reading texts nor merging deals a row for each document or posting; with too many maps to broadcast, joins give the same; vacuum leaves what the state names."""
+    rows = corpus(30)
+    index = TextIndex.create(docs(spark, rows), f"file://{tmp_path}/i", "doc_id", FIELDS, buckets=8)
+    index.upsert(docs(spark, [(k, "title9 apple", "pear") for k, _, _ in rows[::5]] + [(-70000, "below", "apple")]))
+    index.remove(docs(spark, rows[3:9]).select("doc_id"))
+    assert "SortMergeJoin" not in index.documents()._jdf.queryExecution().executedPlan().toString()
+    read = lambda own: sorted(map(tuple, own.documents().collect()))
+    entries = lambda own: sorted((r["gram"], r["field"], r["generation"], r["segment"], k) for r in own._live_postings(range(8)).collect() for k in r["keys"])
+    whole, expected = (read(index), entries(index)), found(index, spark)
+    with monkeypatch.context() as m:
+        m.setattr(text_index, "MAPS", 0)
+        other = TextIndex(spark, f"file://{tmp_path}/i")
+        assert (read(other), entries(other)) == whole and found(other, spark) == expected
+    monkeypatch.setattr(text_index, "MERGED", 3)
+    merged = index.merge()
+    assert merged == sorted(merged) and entries(index) == whole[1]
+    index.vacuum()
+    base = tmp_path / "i" / "postings" / "version=1"
+    assert {(d.parent.name, d.name.removeprefix("bucket=")) for d in base.glob("*/bucket=*")} == {(n, b) for b, sets in index.state["postings"].items() for n in sets}
+    assert found(index, spark) == expected
+
+
 def test_two_writers_of_one_state(spark, tmp_path):
     TextIndex.create(docs(spark, corpus(5)), f"file://{tmp_path}/i", "doc_id", FIELDS)
     one, two = (TextIndex(spark, f"file://{tmp_path}/i") for _ in range(2))
